@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import DigestIndex
+from .lang_id import fit, in_training, predict
 from .mixing import Mix
+from .pii import find
+from .token_count import count_tokens
+from .topk import top_k, usable
 from .url_filter import judge, path_of
 
 
@@ -17,6 +21,25 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = fit(docs.filter(in_training(F.col("doc_id"))))
+    return predict(docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "text"), prototypes)
+
+
+def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(rows, rows.filter(F.col("key") % 50 == 0))
+
+
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """A page's outcome is the label of the document that its path numbers: good if of quality and not toxic."""
     number = F.expr("try_cast(regexp_extract(_path, '^/[^/]+/([0-9]{1,18})', 1) as bigint)")
@@ -38,11 +61,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_find_pii": op4_find_pii,
+    "op5_language_id": op5_language_id,
     "op7_url_filter": op7_url_filter,
+    "op8_count_tokens": op8_count_tokens,
+    "op9_top_k": op9_top_k,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op9_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
