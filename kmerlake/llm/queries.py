@@ -11,16 +11,26 @@ from .common import table
 from .exact_dedup import DigestIndex
 from .lang_id import fit, in_training, predict
 from .mixing import Mix
+from .near_dedup import near_duplicates
 from .pii import find
+from .substring_dedup import dedup_substrings
 from .token_count import count_tokens
 from .topk import top_k, usable
 from .url_filter import judge, path_of
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
@@ -60,7 +70,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_find_pii": op4_find_pii,
     "op5_language_id": op5_language_id,
     "op7_url_filter": op7_url_filter,
