@@ -12,6 +12,7 @@ from .exact_dedup import DigestIndex
 from .lang_id import fit, in_training, predict
 from .mixing import Mix
 from .near_dedup import near_duplicates
+from .pieces import encode
 from .pii import find
 from .substring_dedup import dedup_substrings
 from .token_count import count_tokens
@@ -41,6 +42,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "text"), prototypes)
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_find_pii": op4_find_pii,
     "op5_language_id": op5_language_id,
+    "op6_piece_sampling": op6_piece_sampling,
     "op7_url_filter": op7_url_filter,
     "op8_count_tokens": op8_count_tokens,
     "op9_top_k": op9_top_k,
