@@ -1,26 +1,49 @@
-"""A training corpus in five stages, each one operator of kmerlake.llm over all that the stage before it kept."""
+"""A training corpus in five stages, each one operator of kmerlake.llm over all that the stage before it kept.
+
+Every stage but the last returns the columns of documents. SQL can express none of the stages but exact dedup, so
+ORACLE_SQL is None; tests/llm holds each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerlake.llm import lang_id, near_dedup, pieces
 from kmerlake.llm.common import staged, table
 from kmerlake.llm.exact_dedup import DigestIndex, drop_copies
 from kmerlake.llm.mixing import Mix
 
+#: Texts that resemble no language more than this, or have no letter, are rejected.
+MIN_SCORE = 0.02
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is recognised; profiles come from the documents outside the held-out fifth."""
+    return lang_id.accept(docs, lang_id.fit(docs.filter(lang_id.in_training(F.col("doc_id")))), MIN_SCORE)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return drop_copies(docs, DigestIndex.at(spark))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return Mix(docs).apply(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mix_sources", mix_sources)]
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document that the mix took, with their digest and whether they decode to its text."""
+    return pieces.encode(docs)
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_duplicates", near_duplicates), ("mix_sources", mix_sources), ("encode_pieces", encode_pieces)]
 ORACLE_SQL = None
 
 
