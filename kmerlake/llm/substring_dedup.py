@@ -2,8 +2,10 @@
 
 A count-min sketch over all windows comes first. Equal windows have equal anchors (the smallest of the hashes of
 the shorter runs inside a window), and neighbouring windows mostly share theirs, so the sketch counts the documents
-of each anchor: never fewer than those of any window under it. Partitions send the cells that they fill; ranges of
-cells are merged apart. A second pass groups exactly the windows whose anchor is estimated to be repeated.
+of each anchor: never fewer than those of any window under it. A document's digest is one more key. Partitions send
+the cells that they fill; ranges of cells are merged apart. A second pass groups exactly the documents whose digest
+is estimated to be repeated, and the windows whose anchor is; a later copy of a document goes whole, and only the
+first one's windows take part.
 """
 
 from __future__ import annotations
@@ -13,15 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .shingles import U, runs, word_hashes, words
+from .shingles import U, mix, runs, word_hashes, words
 
-WINDOW, ANCHOR, ROWS = 50, 38, 2
-_MULTIPLIERS = (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53))
-BLOCK_BITS, FLUSH = 19, 1 << 21
+WINDOW, ANCHOR, ROWS = 50, 38, 3
+_MULTIPLIERS = (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9FB21C651E98DF25))
+BLOCK_BITS, FLUSH = 16, 1 << 19
 
 
 def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -35,6 +38,16 @@ def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (span - have)], least[span - have :]) if have < span else least
 
 
+def digest(hashes: np.ndarray) -> bytes:
+    """16 bytes that name a text's words."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def whole_key(hashes: np.ndarray) -> np.ndarray:
+    """A text's own key in the sketch."""
+    return mix(np.frombuffer(digest(hashes)[:8], "<u8"))
+
+
 def cells(keys: np.ndarray, bits: int) -> np.ndarray:
     """The sketch's cells of each key, a row of cells after the other."""
     return np.concatenate([((keys * m) >> U(64 - bits)).astype(np.int64) + (r << bits) for r, m in enumerate(_MULTIPLIERS)])
@@ -47,7 +60,7 @@ class Sketch:
         self.bits = bits
         self.full = np.zeros((ROWS << bits) // 8, np.uint8)
         for i, b in blocks.items():
-            size = (1 << min(BLOCK_BITS, bits + 1)) // 8
+            size = (1 << BLOCK_BITS) // 8
             self.full[i * size : (i + 1) * size] = np.frombuffer(b, np.uint8)
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
@@ -64,7 +77,7 @@ def _fill(bits: int, window: int, anchor: int):
         edge = np.flatnonzero(np.diff(block, prepend=-1))
         ids, once, more = [], [], []
         for a, b in zip(edge, [*edge[1:], len(at)], strict=True):
-            low, several = (at[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u4"), n[a:b] > 1
+            low, several = (at[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u2"), n[a:b] > 1
             ids.append(int(block[a]))
             once.append(low[~several].tobytes())
             more.append(low[several].tobytes())
@@ -74,9 +87,10 @@ def _fill(bits: int, window: int, anchor: int):
         held, size = [], 0
         for b in batches:
             for t in b.column("text").to_pylist():
-                if len(keys := np.unique(anchors(word_hashes(words(t)), window, anchor))):
-                    held.append(keys)
-                    size += len(keys)
+                hashes = word_hashes(words(t))
+                if len(keys := np.unique(anchors(hashes, window, anchor))):
+                    held += [keys, whole_key(hashes)]
+                    size += len(keys) + 1
                 if size >= FLUSH:
                     yield from send(held)
                     held, size = [], 0
@@ -88,18 +102,19 @@ def _fill(bits: int, window: int, anchor: int):
 
 def _merge(bits: int):
     """Adds up the partitions' cells. A task holds two bits for each cell of its blocks, whatever the number of partitions."""
-    size = 1 << min(BLOCK_BITS, bits + 1)
+    size = 1 << BLOCK_BITS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        seen: dict[int, np.ndarray] = {}  # by block: cells filled, and filled again
         for b in batches:
             for i, once, more in zip(*(b.column(c).to_pylist() for c in ("block", "once", "more")), strict=True):
-                one, two = seen.setdefault(i, (np.zeros(size, bool), np.zeros(size, bool)))
-                once = np.frombuffer(once, "<u4")
-                two[once[one[once]]] = True
-                one[once] = True
-                two[np.frombuffer(more, "<u4")] = True
-        full = [(i, np.packbits(two, bitorder="little").tobytes()) for i, (_, two) in seen.items() if two.any()]
+                bits = np.zeros((2, size), bool) if i not in seen else np.unpackbits(seen[i], axis=1, bitorder="little").view(bool)
+                once = np.frombuffer(once, "<u2")
+                bits[1, once[bits[0, once]]] = True
+                bits[0, once] = True
+                bits[:, np.frombuffer(more, "<u2")] = True
+                seen[i] = np.packbits(bits, axis=1, bitorder="little")
+        full = [(i, x[1].tobytes()) for i, x in seen.items() if x[1].any()]
         if full:
             yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in full], pa.int32()), "full": [f for _, f in full]})
 
@@ -117,42 +132,81 @@ def build_sketch(docs: DataFrame, text: str, bits: int, window: int = WINDOW, an
     return Sketch(bits, {r["block"]: bytes(r["full"]) for r in merged.collect()})
 
 
-def repeated_windows(docs: DataFrame, sketch: Sketch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Where windows stand that the sketch estimates repeated: h and g (96 bits that name the words), doc, pos."""
+_FOUND = "h long, g int, pos int, doc long, n_words long, sha binary, copy binary, text string"
+
+
+def _windows(key: int, hashes: np.ndarray, pos: np.ndarray, window: int) -> pa.RecordBatch:
+    """h and g, 96 bits that name a window's words, with its place."""
+    h, g = runs(hashes, window)[pos].view(np.int64), (runs(hashes, window, 1)[pos] >> U(32)).astype(np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(pos.astype(np.int32)), pa.array(np.full(len(pos), key, np.int64))], ["h", "g", "pos", "doc"])
+
+
+def second_pass(docs: DataFrame, sketch: Sketch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """Rows of two kinds: for every document doc, n_words, sha (of all its words), copy (its digest, if it is estimated repeated) and
+    text (only if it may lose words); and h, g, pos, doc of the windows estimated repeated in documents that aren't."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, size = [], 0
+            rows, windows, size = [], [], 0
             for key, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
-                hashes = word_hashes(words(t))
-                keys = anchors(hashes, window, anchor)
-                if len(pos := np.flatnonzero(shared.value.repeated(keys)) if len(keys) else keys):
-                    out.append((runs(hashes, window)[pos].view(np.int64), (runs(hashes, window, 1)[pos] >> U(32)).astype(np.uint32).view(np.int32), np.full(len(pos), key, np.int64), pos.astype(np.int32)))
-                    size += len(pos)
-                if size > FLUSH // 4:
-                    yield _rows(out)
-                    out, size = [], 0
-            if out:
-                yield _rows(out)
+                found = words(t)
+                hashes = word_hashes(found)
+                keys = anchors(hashes, window, anchor) if key is not None else np.zeros(0, U)
+                copy = digest(hashes) if len(keys) and shared.value.repeated(whole_key(hashes)).all() else None
+                pos = np.flatnonzero(shared.value.repeated(keys)) if len(keys) and not copy else np.zeros(0, np.int64)
+                rows.append((key, len(found), hashlib.sha256(b" ".join(found)).digest(), copy, t if copy or len(pos) else None))
+                if len(pos):
+                    windows.append(_windows(key, hashes, pos, window))
+                size += 1 + len(pos)
+                if size > FLUSH:
+                    yield from _both(rows, windows)
+                    rows, windows, size = [], [], 0
+            yield from _both(rows, windows)
 
-    return docs.mapInArrow(part, "h long, g int, doc long, pos int")
+    return docs.mapInArrow(part, _FOUND)
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h", "g", "doc", "pos"])
+_NAMES = ["h", "g", "pos", "doc", "n_words", "sha", "copy", "text"]
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
 
 
-def covered(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None) -> DataFrame:
-    """doc, starts: where each document's windows start that also start in a document with a smaller key."""
-    own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
-    bits = bits or sketch_bits(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    found = staged(repeated_windows(own, build_sketch(own, "text", bits, window, anchor), window, anchor), "windows")
-    first = found.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "g", "first")
-    # A window may stand in any share of the documents: its one first place meets many rows, which Spark splits as a skewed join.
-    later = found.join(first.hint("merge"), ["h", "g"]).filter("doc > first")
+def _both(rows: list[tuple], windows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        values = [pa.nulls(len(rows), k) for k in _KINDS[:3]] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS[3:], strict=True)]
+        yield pa.RecordBatch.from_arrays(values, _NAMES)
+    if windows:
+        values = [pa.concat_arrays([w.column(c) for w in windows]) for c in _NAMES[:4]]
+        yield pa.RecordBatch.from_arrays(values + [pa.nulls(len(values[0]), k) for k in _KINDS[4:]], _NAMES)
+
+
+def _first_copies(window: int):
+    """All windows of documents."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
+                hashes = word_hashes(words(t))
+                yield _windows(key, hashes, np.arange(max(0, len(hashes) - window + 1)), window)
+
+    return part
+
+
+def covered(found: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """From the second pass: doc of the later copies; and doc, starts: where a document's windows start that also start in one with a smaller key."""
+    copies = found.filter("copy is not null")
+    # A group of copies may hold any share of the rows: its one first document meets many rows, which Spark splits as a skewed
+    # join. It can do so only where both sides are dealt out for the join, so the firsts are a table of their own.
+    firsts = staged(copies.groupBy("copy").agg(F.min("doc").alias("first")), "firsts")
+    ranked = staged(copies.select("copy", "doc").join(firsts.hint("merge"), "copy").select("doc", (F.col("doc") > F.col("first")).alias("later")).distinct(), "copies")
+    texts = copies.select("doc", "text").join(ranked.filter("not later").select("doc"), "doc", "left_semi")
+    more = staged(texts.mapInArrow(_first_copies(window), "h long, g int, pos int, doc long"), "copies-windows")
+    windows = found.filter("h is not null").select("h", "g", "pos", "doc").unionAll(more)
+    # Likewise a window that stands in any share of the documents.
+    first = staged(windows.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "g", "first"), "first-windows")
+    after = windows.join(first.hint("merge"), ["h", "g"]).filter("doc > first")
     # As many starts as a document has words, at most.
-    return later.groupBy("doc").agg(F.collect_set("pos").alias("starts"))
+    return ranked.filter("later").select("doc"), after.groupBy("doc").agg(F.collect_set("pos").alias("starts"))
 
 
 def strip(found: list[bytes], starts: np.ndarray, window: int = WINDOW) -> list[bytes]:
@@ -164,8 +218,29 @@ def strip(found: list[bytes], starts: np.ndarray, window: int = WINDOW) -> list[
     return [w for w, gone in zip(found, np.cumsum(edge[:-1]).tolist(), strict=True) if not gone]
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, with_text: bool = False) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256 (and kept_text, if with_text) for every row.
+def _found(docs: DataFrame, text: str, key: str, window: int, anchor: int, bits: int | None) -> DataFrame:
+    own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    bits = bits or sketch_bits(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    sketch = build_sketch(own.filter("doc is not null and text is not null"), "text", bits, window, anchor)
+    return staged(second_pass(own, sketch, window, anchor), "second-pass")
+
+
+def drop_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None) -> DataFrame:
+    """key and text of every row, without the words that dedup_substrings() counts; texts that lose none are unchanged."""
+    later, starts = covered(_found(docs, text, key, window, anchor, bits), window)
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(starts, "doc", "left").join(later.withColumn("later", F.lit(True)), "doc", "left")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("text", "starts", "later")), strict=True)
+            texts = ["" if copy else b" ".join(strip(words(t), np.array(at, np.int64), window)).decode() if at else t for t, at, copy in rows]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
+
+    return rows.mapInArrow(part, "doc long, text string").toDF(key, text)
+
+
+def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None) -> DataFrame:
+    """key, n_words, n_removed, kept_sha256 for every row; drop_substrings() gives the texts.
 
     - Words are runs of anything but ASCII white space, unchanged; what is left is joined by single spaces.
     - A word goes if a window of window words that covers it also starts in a document with a smaller key. Windows are judged on
@@ -173,22 +248,18 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
     - A null or empty text has no words. A row with a null key neither loses words nor makes others lose any.
     - Rows that share a key are taken for copies of one row, and get the same result. Other columns aren't read.
     """
-    starts = covered(docs, text, key, window, anchor, bits)
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("doc", F.col("key").cast("long")).join(starts, "doc", "left").select("key", "text", "starts")
+    found = _found(docs, text, key, window, anchor, bits)
+    later, starts = covered(found, window)
+    rows = found.filter("n_words is not null").select("doc", "n_words", "sha", "text")
+    rows = rows.join(starts, "doc", "left").join(later.withColumn("later", F.lit(True)), "doc", "left")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total, gone, digest, texts = [], [], [], []
-            for t, at in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                found = words(t)
-                left = strip(found, np.array(at, np.int64), window) if at else found
-                joined = b" ".join(left)
-                total.append(len(found))
-                gone.append(len(found) - len(left))
-                digest.append(hashlib.sha256(joined).hexdigest())
-                texts.append(joined.decode("utf-8", "surrogatepass") if with_text and t is not None else None)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(texts, pa.string())], ["key", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    out = rows.mapInArrow(part, f"key {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("key", key) if with_text else out.drop("kept_text").withColumnRenamed("key", key)
+            gone, sha = [], []
+            for t, at, n, whole, copy in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "n_words", "sha", "later")), strict=True):
+                left = [] if copy else strip(words(t), np.array(at, np.int64), window) if at else None
+                gone.append(0 if left is None else n - len(left))
+                sha.append(whole.hex() if left is None else hashlib.sha256(b" ".join(left)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("n_words"), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc", "n_words", "n_removed", "kept_sha256"])
+
+    return rows.mapInArrow(part, "doc long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("doc", key)
