@@ -52,7 +52,7 @@ def hit_runs(found: DataFrame, by: list[str]) -> DataFrame:
 
 def stops(at: Column, match: Column, k: int, length: Column, mc: float) -> Column:
     """At a gap's start: the read can't reach the cutoff any more."""
-    return ((at + k) - match) / length.cast("double") - (1 - F.lit(float(mc))) > EPS
+    return ((at + k) - match) / F.nullif(length.cast("double"), F.lit(0.0)) - (1 - F.lit(float(mc))) > EPS
 
 
 def fold(places: Column, k: int, length: Column, mc: float, early_exit: bool = True) -> Column:
@@ -84,7 +84,7 @@ def fold(places: Column, k: int, length: Column, mc: float, early_exit: bool = T
 
 def passes(match: Column, length: Column, mc: float) -> Column:
     """The read's share of matched bases reaches the cutoff; an empty read never does."""
-    share = match / length.cast("double")
+    share = match / F.nullif(length.cast("double"), F.lit(0.0))
     return (length > 0) & ((share > mc) | (F.abs(share - F.lit(float(mc))) <= EPS))
 
 

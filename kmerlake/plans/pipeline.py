@@ -14,6 +14,10 @@ from ..operators.score import both_strands, choose_strand, compare, fold, is_pro
 from ..operators.taxonomy import UNDEF
 
 
+#: The parent of the top rank's groups; a folder's name can't be empty.
+ROOT = "root"
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of a run: k-mer length, probe distance (0: k), cutoff in percent, mismatches take part, tie policy, similarity in percent."""
@@ -94,9 +98,9 @@ def run(spark: SparkSession, seqs: DataFrame, reads: DataFrame, ranks: list[str]
     before: str | None = None
     for rank in ranks:
         at = f"{path}/{rank}"
-        named = seqs.select(F.coalesce(F.col(before), F.lit(UNDEF)).alias("parent") if before else F.lit("").alias("parent"), F.coalesce(F.col(rank), F.lit(UNDEF)).alias("group"), "seq")
+        named = seqs.select(F.coalesce(F.col(before), F.lit(UNDEF)).alias("parent") if before else F.lit(ROOT).alias("parent"), F.coalesce(F.col(rank), F.lit(UNDEF)).alias("group"), "seq")
         db = stage(spark, f"{at}/db_k{settings.k}", lambda named=named: kmerdb.build(named, settings.k, ["parent", "group"]), "parent")
-        assigned = out[before].select("read_key", F.col("group").alias("parent")) if before else reads.select("read_key", F.lit("").alias("parent"))
+        assigned = out[before].select("read_key", F.col("group").alias("parent")) if before else reads.select("read_key", F.lit(ROOT).alias("parent"))
         kept = stage(spark, f"{at}/rows_{settings.tag()}", lambda assigned=assigned, db=db: classify_children(assigned, reads, db, settings))
         out[rank] = stage(spark, f"{at}/assigned_{settings.tag()}", lambda kept=kept: A.assign(kept, settings.policy))
         before = rank

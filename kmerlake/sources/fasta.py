@@ -16,7 +16,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Files are split between records, so one large file is read by many tasks. What precedes a file's first > is left out.
     """
-    rows = spark.read.option("lineSep", ">").text([paths] if isinstance(paths, str) else paths)
+    rows = spark.read.text(paths, lineSep=">")
     # A > inside a header or sequence doesn't begin a record, but records of this format hold none; an empty part precedes the first.
     lines = F.split(F.col("value"), _LINES)
     found = rows.select(F.input_file_name().alias("file"), F.col("value"), lines.alias("lines")).filter(F.length(F.trim("value")) > 0)
@@ -38,7 +38,7 @@ def last_by_key(reads: DataFrame, order: Column | str, key: str = "read_key") ->
 
 def read_list(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
     """pos (from 0) and name for the lines of a list file, which is small and read whole; empty lines don't count."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.transform(F.split("value", _LINES), F.trim), lambda x: x != "")).alias("pos", name))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", _LINES), F.trim), lambda x: x != "")).alias("pos", name))
     return rows
 
 
