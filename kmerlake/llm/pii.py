@@ -65,7 +65,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 # --- candidates -----------------------------------------------------------------------------------------------
 
 #: Where digits with separators stand close together; the generators for numbers only look there.
-_REGION = re.compile(r"[0-9(](?:[()\[\]., _/-]{0,3}[0-9]){7,}")
+_REGION = re.compile(r"[0-9(](?:[()\[\]., _/-]{0,3}[0-9]){3,}")
 _NUMBERS = {
     "ip": re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(]?[.,][\])]? ?[0-9]{1,3}){3}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{3,6}){2,4}(?![0-9])"),

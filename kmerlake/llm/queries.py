@@ -17,7 +17,7 @@ from .pii import find
 from .substring_dedup import dedup_substrings
 from .token_count import count_tokens
 from .topk import top_k, usable
-from .url_filter import judge, path_of
+from .url_filter import LIMIT, RULES, Z, judge, path_of
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _rules_sql() -> tuple[str, str]:
+    """CASE expressions for the longest rule that fits, and its verdict."""
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))]
+    return tuple("CASE " + " ".join(f"WHEN {f} THEN '{x[i]}'" for f, *x in fits) + " END" for i in (0, 1))
+
+
+def _strength_sql(level: str) -> str:
+    """The prior's strength and the good rate of a level's groups."""
+    return f"""{level}_s AS (SELECT count(*) AS k, sum(n) AS n, sum(good) AS g, sum(n * n) AS nn, sum(good * good / n) AS gg FROM {level}),
+    {level}_r AS (SELECT CASE WHEN n > 0 THEN g / n ELSE 1.0 END AS p, CASE WHEN n > 0 AND g / n > 0 AND g / n < 1 AND n - nn / n - (k - 1) > 0
+        THEN ((gg - n * (g / n) * (g / n)) / ((g / n) * (1 - g / n)) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0.1 END AS raw FROM {level}_s),
+    {level}_m AS (SELECT p, (1 - least(0.5, greatest(0.001, raw))) / least(0.5, greatest(0.001, raw)) AS m FROM {level}_r)"""
+
+
+def _upper_sql(a: str, b: str) -> str:
+    return f"least(1.0, {a} / ({a} + {b}) + {Z} * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1))))"
+
+
 SQL: dict[str, str] = {
+    "op7_url_filter": rf"""
+        WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+        num AS (SELECT page_id, TRY_CAST(nullif(regexp_extract(path, '^/[^/]+/([0-9]{{1,18}})', 1), '') AS BIGINT) AS doc_id FROM u),
+        good AS (SELECT page_id, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0.0 END)) AS good FROM num JOIN labels USING (doc_id) GROUP BY page_id),
+        hosts AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS good FROM u JOIN good USING (page_id) GROUP BY host),
+        parts AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM u),
+        named AS (SELECT host, array_to_string(l[greatest(1, len(l) - 1):], '.') AS domain, l[-1] AS suffix FROM parts),
+        h AS (SELECT hosts.*, domain, suffix FROM hosts JOIN named USING (host)),
+        d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
+        s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
+        {_strength_sql('h')}, {_strength_sql('d')}, {_strength_sql('s')},
+        ms AS (SELECT suffix, (good + s_m.m * s_m.p) / (n + s_m.m) AS mean_s FROM s, s_m),
+        md AS (SELECT domain, suffix, mean_s, (good + d_m.m * mean_s) / (n + d_m.m) AS mean_d FROM d JOIN ms USING (suffix), d_m),
+        mh AS (SELECT host, good + h_m.m * mean_d AS a, n - good + h_m.m * (1 - mean_d) AS b FROM h JOIN md USING (domain, suffix), h_m),
+        prior AS (SELECT named.host, coalesce(md.mean_d, ms.mean_s) AS q FROM named LEFT JOIN md USING (domain) LEFT JOIN ms ON ms.suffix = named.suffix),
+        bound AS (SELECT prior.host, coalesce({_upper_sql('a', 'b')}, {_upper_sql('(q * h_m.m)', '((1 - q) * h_m.m)')}, 1.0) AS upper FROM prior LEFT JOIN mh USING (host), h_m)
+        SELECT page_id, host, path, {_rules_sql()[0]} AS rule, coalesce({_rules_sql()[1]}, CASE WHEN upper < {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM u JOIN bound USING (host)
+    """,
     "op9_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
