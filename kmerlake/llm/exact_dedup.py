@@ -62,8 +62,10 @@ class DigestIndex:
         out = fresh.select("digest", F.col("last").alias("keep_id"), F.lit(batch).cast("long").alias("batch"))
         out.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
         now = self.rows().filter(F.col("batch") <= batch)
-        labels = groups.join(now, "digest").select("digest", "keep_id", (F.col("n") + (F.col("batch") < batch).cast("long")).alias("group_size"), (F.col("batch") == batch).alias("here"))
-        # A group may hold any share of the rows: its one label meets many rows, which Spark splits as a skewed join.
+        labels = groups.join(now.hint("merge"), "digest").select("digest", "keep_id", (F.col("n") + (F.col("batch") < batch).cast("long")).alias("group_size"), (F.col("batch") == batch).alias("here"))
+        # A group may hold any share of the rows: its one label meets many rows, which Spark splits as a skewed join. It can do
+        # so only where both sides are dealt out for the join, not in the index's buckets, so the labels are a table of their own.
+        labels = staged(labels, "labels")
         return digests.join(labels.hint("merge"), "digest").select(
             F.col("key").alias(key), "digest", "keep_id", "group_size", (F.col("here") & F.col("keep_id").eqNullSafe(F.col("key"))).alias("kept")
         )
