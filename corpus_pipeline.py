@@ -14,8 +14,8 @@ from kmerlake.llm.common import staged, table
 from kmerlake.llm.exact_dedup import DigestIndex, drop_copies
 from kmerlake.llm.mixing import Mix
 
-#: Texts that resemble no language more than this, or have no letter, are rejected.
-MIN_SCORE = 0.02
+#: Texts that resemble no language (a cosine of this or less with each profile), or have no letter, are rejected.
+MIN_SCORE = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,9 +129,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return rows.mapInArrow(part, schema).toDF(*keep, "lang_pred", "score")
 
 
-def accept(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float, text: str = "text") -> DataFrame:
-    """The rows, with their own columns, whose language is known and whose score is min_score or more."""
+def accept(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows, with their own columns, whose language is known and whose score is above min_score."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"))
-    found = predict(packed, prototypes, "text", ["row"]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    found = predict(packed, prototypes, "text", ["row"]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_score))
     return found.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -79,6 +79,6 @@ def test_edges(spark):
 
 def test_accept_keeps_columns(spark):
     df = frame(spark, made(random.Random(5), 40) + edge_rows(), True)
-    out = L.accept(df, L.fit(df), 0.02)
+    out = L.accept(df, L.fit(df))
     assert out.columns == df.columns
     assert {r["doc_id"] for r in out.collect()} >= set(range(40)) and not {r["doc_id"] for r in out.collect()} & {1001, 1002, 1003}

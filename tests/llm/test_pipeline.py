@@ -28,9 +28,9 @@ def check(spark, docs):
     start, known, exact, near, mixed, ids = tables
     for t in tables[1:-1]:
         assert t.columns == docs.columns
-    bundles = {str(r["doc_id"]): lang_id.bundle(r["text"]) for r in start.collect()}
-    assert not [k for k in keys(known) if bundles[k] is None]
-    assert {k for k, v in bundles.items() if v is not None} - set(keys(known)) <= {"1004"}
+    protos = lang_id.fit(start.filter(lang_id.in_training(start["doc_id"])))
+    found = lang_id.predict(start.select("doc_id", "text"), protos).collect()
+    assert keys(known) == sorted(str(r["doc_id"]) for r in found if r["lang_pred"] != "und" and r["score"] > 0)
     low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     last = {}
     for r in known.collect():
