@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import headers as H
 from ..operators import assign as A
 from ..operators import kmerdb
 from ..operators.score import both_strands, choose_strand, compare, fold, is_probe, read_kmers, stops
-from ..operators.taxonomy import UNDEF
+from ..operators.taxonomy import UNDEF, at_rank, group_name, lineage
 
 
 #: The parent of the top rank's groups; a folder's name can't be empty.
@@ -48,6 +49,17 @@ def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], *partit
     return spark.read.parquet(path)
 
 
+def divide(seqs: DataFrame, nodes: DataFrame, names: DataFrame, upper: str, lower: str) -> DataFrame:
+    """seqs (file, header, seq) with tax_id, from the header's tag, and group, from its taxa at two ranks."""
+    paths = lineage(nodes)
+    at = lambda rank, i: at_rank(paths, names, rank).select("tax_id", F.col("anc_id").alias(f"_i{i}"), F.col("anc_name").alias(f"_n{i}"))
+    tagged = seqs.withColumn("tax_id", H.taxid_from_header(F.col("header")).try_cast("bigint"))
+    found = tagged.join(at(upper, 1), "tax_id", "left").join(at(lower, 2), "tax_id", "left")
+    file = H.taxid_from_file(F.col("file"))
+    named = group_name(F.col("_n1"), F.col("_i1"), F.coalesce("_n2", F.lit(UNDEF)), F.col("_i2"), file, H.stem(F.col("file")))
+    return found.select(*seqs.columns, "tax_id", named.alias("group"))
+
+
 def classify(reads: DataFrame, db: DataFrame, settings: Settings, groups: DataFrame | None = None) -> DataFrame:
     """Candidate rows of reads (read_key, seq) against a database (group, kmer)."""
     rows = compare(reads, db, db.select("group").distinct() if groups is None else groups, settings.k, settings.mc, settings.step)
