@@ -111,7 +111,7 @@ class Mix:
         return (r - F.floor(r)) - hash_unit(F.col("doc_id"), F.lit(SEED))
 
     def _round(self, levels: int = 3, fan: int = 1024) -> None:
-        """Theta per source, so that whole copies meet the target as closely as whole documents can.
+        """Theta per source, so that whole copies meet the target within one document.
 
         Sums over bins of the key narrow theta to a bin, then to a part of it, levels times.
         """
@@ -144,13 +144,13 @@ class Mix:
     def _copies(self) -> Column:
         r = _rate(self.cap)
         copies = F.floor(r) + ((r < self.cap) & (self._key() >= F.col("theta"))).cast("long")
-        return F.when(F.col("mode") == FULL, F.lit(int(self.cap))).when(F.col("mode") == NONE, F.lit(0)).when(F.col("size") == 0, F.lit(1)).otherwise(copies).cast("long")
+        return F.when(F.col("size") == 0, F.lit(1)).when(F.col("mode") == FULL, F.lit(int(self.cap))).when(F.col("mode") == NONE, F.lit(0)).otherwise(copies).cast("long")
 
     def taken(self) -> DataFrame:
         """doc_id, source, size, source_size, target, rate, copies, taken: a row per document.
 
-        A null or wordless text has size 0 and one copy (none where its source's target is 0 or its words are 0 and full);
-        a null source is a source; repeated rows are documents of their own that get the same copies; other columns aren't read.
+        A null or wordless text has size 0 and one copy; a null source is a source; repeated rows are documents of their own
+        that get the same copies; an empty table gives an empty result; other columns aren't read.
         """
         own = F.broadcast(small_table(self.spark, [(s, n) for s, n in self.words.items()], "s string, source_size long"))
         out = self._with(self.sizes).join(own, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("copies", self._copies())

@@ -62,7 +62,7 @@ def test_mix(spark):
 def test_empty_and_wordless(spark):
     assert Mix(frame(spark, [])).taken().collect() == []
     out = Mix(frame(spark, [(1, None, "", "a", 0), (2, " ", "", "a", 0)])).taken().collect()
-    assert {(r["size"], r["target"], r["taken"]) for r in out} == {(0, 0.0, 0)}
+    assert {(r["size"], r["target"], r["taken"], r["copies"]) for r in out} == {(0, 0.0, 0, 1)}
 
 
 def test_too_many_sources(spark):
