@@ -5,9 +5,11 @@ takes half the hash evaluations. Four values make a band. Documents with equal s
 classes that share a band are compared by their signatures, in groups of bounded size, and a pair that may be
 similar enough is decided on the full shingle sets.
 
-Only classes of different components need comparing. Two rounds link each class with its likeliest neighbour in
-another component, which joins nearly all there is to join; a last round then compares all classes that share a
-band and still are in different components, so that no link between components that the bands show is left out.
+Only classes of different components need comparing. A first round links each class with its likeliest neighbour,
+which joins nearly all there is to join. A last round then takes all classes that share a band with
+a likely partner in another component, gathers them into families, and decides on the full sets within each family,
+so that no link between components that the bands show is left out. Each class's set travels once, and what is
+sent on is linear in the classes: places in families, and at most one link for a class and component.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ PERMUTATIONS, BAND = 64, 4
 #: A pair whose signatures agree on fewer values isn't checked: at similarity 0.75 that is over 4 (mostly over 6) standard deviations off.
 AGREE = PERMUTATIONS
 #: Classes that are compared at once.
-GROUP = 2048
+GROUP = 512
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << U(1)) | U(1)
 _MIX = (np.random.default_rng(12).integers(0, 1 << 63, BAND, dtype=np.uint64) << U(1)) | U(1)
 
@@ -79,9 +81,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both))
+            keep.append(_similar(np.frombuffer(x, U), np.frombuffer(y, U)))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -128,6 +128,33 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if good.any():
             yield _pairs([ids[good]], [ids[at[good]]], [n[good]])
 
+    yield from _by_group(batches, of)
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties (a, b) between the classes of a group that have a likely partner in another component; who is tied has all likely partners in its family."""
+
+    def of(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, comps, sigs = _unpack(rows)
+        if len(ids) < 2 or (comps == comps[0]).all():
+            return
+        order = np.argsort(ids)  # a family's smallest id stands for it, which other bands will mostly choose, too
+        ids, comps, sigs = ids[order], comps[order], sigs[order]
+        family, tied = np.arange(len(ids)), np.zeros(len(ids), bool)
+        for i in range(len(ids)):
+            hit = (comps != comps[i]) & (_agreement(sigs[i], sigs) >= AGREE)
+            if hit.any():
+                hit[i] = True
+                tied |= hit
+                own = np.unique(family[hit])
+                family[np.isin(family, own)] = own[0]
+        if tied.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[family[tied]])], ["a", "b"])
+
+    yield from _by_group(batches, of)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     for new, rows in _groups(batches, ["band", "part"]):
         if new and held:
@@ -138,55 +165,65 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from of(held)
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes of a group against its residents: all pairs of different components that agree enough. Residents come first; probes stream by."""
+    """Probes of a group against its residents: for each probe and other component the link to it, if there is one. Residents come first; probes stream by."""
     home: list[pa.RecordBatch] = []
     known = None
-    for new, rows in _groups(batches, ["band", "part", "probe"]):
+    for new, rows in _groups(batches, ["family", "part", "probe"]):
         probing = bool(rows.column("probe")[0].as_py())
         if new and not probing:
             home, known = [], None
         if not probing:
             home.append(rows)
             continue
-        known = known or _unpack(home)
-        ids, comps, sigs = known
-        a, b, n = [], [], []
-        for i, c, s in zip(*_unpack([rows]), strict=True):
+        if known is None:
+            known = *_unpack(home), [s for r in home for s in r.column("shingles").to_pylist()]
+            home = []
+        ids, comps, sigs, sets = known
+        a, b = [], []
+        for i, c, s, own in zip(*_unpack([rows]), rows.column("shingles").to_pylist(), strict=True):
             agree = np.where(comps == c, 0, _agreement(s, sigs))
-            hit = np.flatnonzero(agree >= AGREE)
-            if len(hit):
-                a.append(np.full(len(hit), i))
-                b.append(ids[hit])
-                n.append(agree[hit])
+            near = np.flatnonzero(agree >= AGREE)
+            done: set[int] = set()
+            own = np.frombuffer(own, U)
+            for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                if comps[j] not in done and _similar(own, np.frombuffer(sets[j], U)):
+                    done.add(comps[j])
+                    a.append(i)
+                    b.append(ids[j])
         if a:
-            yield _pairs(a, b, n)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for every end of a link (a, b): comp is the smallest id that can be reached.
 
     Each step ties all neighbours of an id to the smallest of them, first the greater ones, then the smaller ones, until
-    nothing changes. Steps are sums by key and joins; what a step leaves is a written table.
+    every id has one tie, and none leads to an id that has one itself. Steps are sums by key and joins; what a step leaves
+    is a written table.
     """
-    edges, seen = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
+    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        if ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("low")).filter("n > 1 or (n = 1 and low = 0)").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = staged(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("v")), "least")
         small = large.join(least.withColumnRenamed("v", "m"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.unionAll(least).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
-        seen = now
 
 
 class NearDuplicates:
     """The near-duplicate classes of documents: members (doc, n, rep) and links between class representatives."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP, rounds: int = 2):
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP, rounds: int = 1):
         self.group, self.text = group, docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
         sketches = staged(self.text.filter("doc is not null").mapInArrow(_sketch, "doc long, n long, set_key binary, bands array<long>, sig binary"), "sketches")
         # One row per distinct set, whatever the number of its copies.
@@ -194,51 +231,59 @@ class NearDuplicates:
         classes = staged(classes, "classes")
         self.members = staged(sketches.select("doc", "n", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").select("doc", "n", "rep"), "members")
         filled = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-        shared = filled.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        # A band may be that of any share of the classes. Spark splits a skewed join only where both sides are dealt out for it, so
+        # sums by a key that meet the key's rows again are tables of their own, here and below.
+        shared = staged(filled.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "shared-bands")
         self.buckets = staged(filled.join(shared, "band"), "buckets")
         ids = self.buckets.select("id").distinct()
         self.sigs = staged(classes.select(F.col("rep").alias("id"), "sig").join(ids, "id", "left_semi"), "signatures")
         rows = self.text.withColumnRenamed("doc", "id").join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
         self.sets = staged(rows.mapInArrow(_sets, "id long, shingles binary"), "sets")
         self.comps = self.sigs.select("id", F.col("id").alias("comp"))
-        self.links: DataFrame | None = None
         for step in range(rounds + 1):
-            pairs = staged(self._likely() if step < rounds else self._rest(), "pairs")
-            found = staged(self._confirmed(pairs), "links")
-            if found.isEmpty():
-                if step < rounds and pairs.isEmpty():
-                    break
-                continue
-            self.links = found if self.links is None else self.links.unionAll(found)
-            linked = components(self.links)
-            self.comps = staged(self.sigs.select("id").join(linked, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "components")
-
-    def _open(self) -> DataFrame:
-        """band, m, id, comp, sig of the buckets that still hold more than one component."""
+            links = staged(self._confirmed(self._likely(step == 0)) if step < rounds else self._rest(), "links")
+            if not links.isEmpty():
+                # Between components, of which there are fewer each time.
+                for end in ("a", "b"):
+                    links = links.join(self.comps.select(F.col("id").alias(end), F.col("comp").alias("_comp")), end).withColumn(end, F.col("_comp")).drop("_comp")
+                linked = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+                self.comps = staged(self.comps.join(linked, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "components")
+
+    def _open(self, first: bool = False) -> DataFrame:
+        """band, m, low, id, comp, sig of the buckets that still hold more than one component."""
+        if first:  # every bucket does
+            return self.buckets.withColumn("comp", F.col("id")).join(self.sigs, "id").withColumn("low", F.lit(None).cast("long")).select("band", "m", "low", "id", "comp", "sig")
         rows = self.buckets.join(self.comps, "id")
-        several = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-        return rows.join(several, "band").join(self.sigs, "id").select("band", "m", "id", "comp", "sig")
-
-    def _likely(self) -> DataFrame:
-        """Pairs (a, b): each class and its best neighbour over all its buckets. A large bucket is dealt into parts, anew for each band, so that parts meet in other bands."""
-        parts = F.ceil(F.col("m") / self.group)
-        rows = self._open().withColumn("part", F.pmod(F.xxhash64("id", "band"), parts).cast("int")).select("band", "part", "id", "comp", "sig")
-        near = rows.repartition("band", "part").sortWithinPartitions("band", "part").mapInArrow(_nearest, "a long, b long, n int")
+        several = staged(rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("low")).filter("lo < hi").select("band", "low"), "open-bands")
+        return rows.join(several, "band").join(self.sigs, "id").select("band", "m", "low", "id", "comp", "sig")
+
+    def _parts(self, rows: DataFrame) -> DataFrame:
+        """A large bucket is dealt into parts, anew for each band, so that parts meet in other bands."""
+        part = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("m") / self.group)).cast("int")
+        return rows.select("band", part.alias("part"), "id", "comp", "sig").repartition("band", "part").sortWithinPartitions("band", "part")
+
+    def _likely(self, first: bool) -> DataFrame:
+        """Pairs (a, b): each class and its best neighbour over all its buckets."""
+        near = self._parts(self._open(first)).mapInArrow(_nearest, "a long, b long, n int")
         best = near.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def _rest(self) -> DataFrame:
-        """Pairs (a, b) of all classes that share a band, are in different components and agree enough.
+        """Links (a, b) of all classes that share a band and are in different components, one for each class and component.
 
-        Everything in a bucket but its largest component goes past each part of the bucket.
+        All of a bucket that is dealt into parts is one family. Everything in a family but its largest component goes past
+        each part of the family.
         """
-        rows = self._open()
-        largest = rows.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg(F.max(F.struct("k", "comp")).alias("x")).select("band", F.col("x.comp").alias("main"))
-        rows = rows.join(largest, "band").withColumn("parts", F.ceil(F.col("m") / self.group).cast("int"))
-        home = rows.select("band", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("probe"), "id", "comp", "sig")
-        probes = rows.filter("comp <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "id", "comp", "sig")
-        near = home.unionAll(probes).repartition("band", "part").sortWithinPartitions("band", "part", "probe").mapInArrow(_across, "a long, b long, n int")
-        return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = staged(self._open(), "open-rows")
+        ties = self._parts(rows).mapInArrow(_families, "a long, b long").unionAll(rows.filter(F.col("m") > self.group).select(F.col("id").alias("a"), F.col("low").alias("b")))
+        rows = components(ties).withColumnRenamed("comp", "family").join(self.comps, "id")
+        counts = rows.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("x"))
+        counts = staged(counts.select("family", F.ceil(F.col("m") / self.group).cast("int").alias("parts"), F.col("x.comp").alias("main")), "families")
+        rows = rows.join(counts, "family").join(self.sigs, "id").join(self.sets, "id")
+        what = ["id", "comp", "sig", "shingles"]
+        home = rows.select("family", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("probe"), *what)
+        probes = rows.filter("comp <> main").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), *what)
+        return home.unionAll(probes).repartition("family", "part").sortWithinPartitions("family", "part", "probe").mapInArrow(_across, "a long, b long")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough. An id in many pairs is a skewed join, which Spark splits."""
