@@ -105,7 +105,34 @@ def _upper_sql(a: str, b: str) -> str:
     return f"least(1.0, {a} / ({a} + {b}) + {Z} * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1))))"
 
 
+_SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _words_sql(text: str) -> str:
+    """doc_id and w, a text's words in order."""
+    return f"w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents)"
+
+
 SQL: dict[str, str] = {
+    "op1_near_dedup": rf"""
+        WITH RECURSIVE {_words_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+        ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN ends ON x = r)
+        SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept FROM reach d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+    """,
+    "op3_substring_dedup": rf"""
+        WITH {_words_sql('text')},
+        p AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM w WHERE len(w) >= 50)),
+        f AS (SELECT k, min(doc_id) AS first FROM p GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, p + i AS p FROM p JOIN f USING (k), (SELECT unnest(range(0, 50)) AS i) WHERE doc_id > first),
+        each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op7_url_filter": rf"""
         WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
             coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections import defaultdict
 
 from kmerlake.llm import queries
+from kmerlake.llm.common import drop_staged, staged
 from kmerlake.llm.exact_dedup import DigestIndex, drop_copies
 from tests.conftest import rows_of, rows_of_sql
 from tests.llm.data import documents, edge_rows, frame
@@ -72,6 +74,13 @@ def test_drop_copies_keeps_columns_and_keyless_rows(spark):
     assert out.filter("doc_id is null").count() == 2
 
 
+def test_staged_tables_can_be_dropped(spark):
+    df = staged(spark.range(5), "five")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(path)
+    assert drop_staged(spark) >= 1 and not os.path.isdir(path)
+
+
 def test_sql(spark, duck):
-    for name in ("op7_url_filter", "op9_top_k", "op10_exact_dedup"):
+    for name in queries.SQL:
         assert rows_of(queries.QUERIES[name](spark, "/root/testdata/sf0.001")) == rows_of_sql(duck, queries.SQL[name])
