@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,13 +33,46 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that staged() wrote and drop_staged() hasn't removed.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage, and outlives any executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Removes the staged tables of this process, once the results that read them are written elsewhere. Their number."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_STAGED)
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+#: Where this package lies.
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+#: Batches for Python workers are cut at this size: texts and sets make rows of many kilobytes, and JVM and worker hold several batches at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow() in small batches, whose workers find this package wherever they start. On a cluster it is installed, or sent with --py-files."""
+    if df.sparkSession.conf.get(_BATCH) in ("64MB", "64m", "67108864b", "67108864"):  # Spark's default
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    env = df.sparkSession.sparkContext.environment
+    if _ROOT not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in [*known, _ROOT] if x)
+    return df.mapInArrow(f, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only: lower() would also change other letters, and by the JVM's rules."""
     return F.translate(text, UPPER, LOWER)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 DIMS = 512
 UNKNOWN = "und"
 #: Letters below DIRECT have a vector each; all others share POOLED vectors by code point. Slot 0 is the gap between words.
@@ -90,7 +92,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_langs: int
             yield pa.RecordBatch.from_pydict({"lang": [name] * DIMS, "dim": np.arange(DIMS, dtype=np.int32), "value": np.rint(v * 2**20).astype(np.int64)})
 
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    sums = rows.mapInArrow(part, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+    sums = rows.transform(arrow, part, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     got = sums.limit(max_langs * DIMS + 1).collect()
     if len(got) > max_langs * DIMS:
         raise ValueError(f"more than {max_langs} languages; raise max_langs")
@@ -126,7 +128,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
     schema = ", ".join([f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"_{len(keep)} string", f"_{len(keep) + 1} double"])
-    return rows.mapInArrow(part, schema).toDF(*keep, "lang_pred", "score")
+    return rows.transform(arrow, part, schema).toDF(*keep, "lang_pred", "score")
 
 
 def accept(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = 0.0, text: str = "text") -> DataFrame:

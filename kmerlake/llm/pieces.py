@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
 from .shingles import U, mix
 from .token_count import vocabulary
 
@@ -30,7 +31,7 @@ GAP = "▁"
 #: Stands for GAP where the text itself has one: no text can hold it, and it is spelt in bytes, so decoding tells the two apart.
 OWN_GAP = "\udfff"
 THETA, SEED = 2e-4, 6
-UNITS, LONG = 500_000, 1 << 20
+UNITS, LONG = 100_000, 1 << 20
 _STEP, _PLACE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -65,7 +66,7 @@ class Lattice:
         for length in range(2, pieces.longest + 1):
             inside = room >= length
             live, state, room = live[inside], state[inside], room[inside]
-            state = tree[state * width + kind[live + (length - 1)]]
+            state = tree[state.astype(np.int32) * width + kind[live + (length - 1)]]
             inside = state > 0
             live, state, room = live[inside], state[inside], room[inside]
             found = pieces.ends[state]
@@ -178,7 +179,7 @@ class Pieces:
                 at = nodes[at][k]
             last[at] = i
         #: The tree of longer pieces: next node by node and kind of character (0: none), and the piece that ends at a node.
-        self.tree = np.zeros((len(nodes), len(many) + 1), np.int32)
+        self.tree = np.zeros((len(nodes), len(many) + 1), np.uint16 if len(nodes) < 1 << 16 else np.int32)
         for at, down in enumerate(nodes):
             self.tree[at, list(down)] = list(down.values())
         self.ends = np.full(len(nodes), -1, np.int32)
@@ -274,7 +275,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", theta: float = TH
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(part, f"key {kind}, n_pieces long, ids_sha256 string, lossless boolean, ids array<int>")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).transform(arrow, part, f"key {kind}, n_pieces long, ids_sha256 string, lossless boolean, ids array<int>")
     return (out if with_ids else out.drop("ids")).withColumnRenamed("key", key)
 
 
@@ -288,4 +289,4 @@ def decode(rows: DataFrame, name: str = "piece_bpe_32k.model", ids: str = "ids",
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(texts, pa.string())], ["key", "text"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(part, f"key {kind}, text string").withColumnRenamed("key", key)
+    return rows.select(F.col(key).alias("key"), F.col(ids).alias("ids")).transform(arrow, part, f"key {kind}, text string").withColumnRenamed("key", key)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -251,5 +253,5 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", with_text: bo
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(part, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).transform(arrow, part, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
     return out.withColumnRenamed("key", key) if with_text else out.drop("redacted").withColumnRenamed("key", key)

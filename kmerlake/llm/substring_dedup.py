@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import arrow, staged
 from .shingles import U, mix, runs, word_hashes, words
 
 WINDOW, ANCHOR, ROWS = 50, 38, 3
@@ -127,8 +127,8 @@ def sketch_bits(n_bytes: int, least: int = 16, most: int = 28) -> int:
 
 
 def build_sketch(docs: DataFrame, text: str, bits: int, window: int = WINDOW, anchor: int = ANCHOR) -> Sketch:
-    filled = docs.select(F.col(text).alias("text")).mapInArrow(_fill(bits, window, anchor), "block int, once binary, more binary")
-    merged = filled.repartition("block").mapInArrow(_merge(bits), "block int, full binary")
+    filled = docs.select(F.col(text).alias("text")).transform(arrow, _fill(bits, window, anchor), "block int, once binary, more binary")
+    merged = filled.repartition("block").transform(arrow, _merge(bits), "block int, full binary")
     return Sketch(bits, {r["block"]: bytes(r["full"]) for r in merged.collect()})
 
 
@@ -164,7 +164,7 @@ def second_pass(docs: DataFrame, sketch: Sketch, window: int = WINDOW, anchor: i
                     rows, windows, size = [], [], 0
             yield from _both(rows, windows)
 
-    return docs.mapInArrow(part, _FOUND)
+    return docs.transform(arrow, part, _FOUND)
 
 
 _NAMES = ["h", "g", "pos", "doc", "n_words", "sha", "copy", "text"]
@@ -200,7 +200,7 @@ def covered(found: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     firsts = staged(copies.groupBy("copy").agg(F.min("doc").alias("first")), "firsts")
     ranked = staged(copies.select("copy", "doc").join(firsts.hint("merge"), "copy").select("doc", (F.col("doc") > F.col("first")).alias("later")).distinct(), "copies")
     texts = copies.select("doc", "text").join(ranked.filter("not later").select("doc"), "doc", "left_semi")
-    more = staged(texts.mapInArrow(_first_copies(window), "h long, g int, pos int, doc long"), "copies-windows")
+    more = staged(texts.transform(arrow, _first_copies(window), "h long, g int, pos int, doc long"), "copies-windows")
     windows = found.filter("h is not null").select("h", "g", "pos", "doc").unionAll(more)
     # Likewise a window that stands in any share of the documents.
     first = staged(windows.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h", "g", "first"), "first-windows")
@@ -236,7 +236,7 @@ def drop_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
             texts = ["" if copy else b" ".join(strip(words(t), np.array(at, np.int64), window)).decode() if at else t for t, at, copy in rows]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
 
-    return rows.mapInArrow(part, "doc long, text string").toDF(key, text)
+    return rows.transform(arrow, part, "doc long, text string").toDF(key, text)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None) -> DataFrame:
@@ -262,4 +262,4 @@ def dedup_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", w
                 sha.append(whole.hex() if left is None else hashlib.sha256(b" ".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("n_words"), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.mapInArrow(part, "doc long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("doc", key)
+    return rows.transform(arrow, part, "doc long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("doc", key)

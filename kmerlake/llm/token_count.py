@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 LETTER, NUMBER, OTHER, SPACE, SPACE_END, WHITE, WHITE_END, SHORT, LONG, RESET = range(10)
 #: Splitter states: at the start; in letters, numbers, others; after a space, other white space; in a contraction of one or two letters; behind one.
 S_START, S_LETTER, S_NUMBER, S_OTHER, S_SPACE, S_WHITE, S_SHORT, S_LONG, S_LONG2, S_DONE = range(10)
@@ -300,7 +302,7 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int =
             n = next(part(iter([b])))
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n_bytes"), n.column("n_tokens")], ["key", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(sized, f"key {kind}, n_bytes long, n_tokens long").select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.transform(arrow, sized, f"key {kind}, n_bytes long, n_tokens long").select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 #: The worker's compiled tokenizers, by name.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import arrow, staged
 
 SCALE, BLOCK = 256, 1024
 _BLOCKS = "dim int, ids binary, cells binary, top binary, low binary"
@@ -49,7 +49,7 @@ def build_blocks(rows: DataFrame, scale: int = SCALE, block: int = BLOCK) -> Dat
                     cells = x[at]
                     yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [keys[at].astype("<i8").tobytes()], "cells": [cells.astype("<i8").tobytes()], "top": [cells.max(0).tobytes()], "low": [cells.min(0).tobytes()]})
 
-    return rows.mapInArrow(part, _BLOCKS)
+    return rows.transform(arrow, part, _BLOCKS)
 
 
 def _multiply(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = SCALE, b
             own = [r for r in got if len(r["v"]) == dim]
             by_dim[dim] = (np.array([r["key"] for r in own], np.int64), np.floor(np.array([r["v"] for r in own], np.float64).reshape(len(own), dim) * scale).astype(np.int64))
         shared = spark.sparkContext.broadcast(by_dim)
-        parts.append(blocks.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score long"))
+        parts.append(blocks.transform(arrow, _searcher(shared, k), "query_id long, vec_id long, score long"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
