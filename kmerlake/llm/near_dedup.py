@@ -9,7 +9,7 @@ Only classes of different components need comparing. A first round links each cl
 which joins nearly all there is to join. A last round then takes all classes that share a band with
 a likely partner in another component, gathers them into families, and decides on the full sets within each family,
 so that no link between components that the bands show is left out. Each class's set travels once, and what is
-sent on is linear in the classes: places in families, and at most one link for a class and component.
+sent on is linear in the classes: places in families, and links that join two components.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import arrow, staged
 from .shingles import U, mix, runs, word_hashes, words
 
 SHINGLE = 5
@@ -171,29 +171,40 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes of a group against its residents: for each probe and other component the link to it, if there is one. Residents come first; probes stream by."""
+    """Probes of a group against its residents: links that join components, as many as there are to join. Residents come first.
+
+    Pairs of components that a link of the group has joined aren't compared any more.
+    """
     home: list[pa.RecordBatch] = []
     known = None
-    for new, rows in _groups(batches, ["family", "part", "probe"]):
-        probing = bool(rows.column("probe")[0].as_py())
-        if new and not probing:
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := joined.get(c, c)) != c:
+            joined[c] = c = joined.get(up, up)
+        return c
+
+    for new, rows in _groups(batches, ["family", "part", "against"]):
+        if new:
             home, known = [], None
-        if not probing:
-            home.append(rows)
+            joined.clear()
+        n = int((rows.column("probe").to_numpy() == 0).sum())
+        if n:
+            home.append(rows.slice(0, n))
+        probes = rows.slice(n)
+        if not probes.num_rows or not home:
             continue
         if known is None:
             known = *_unpack(home), [s for r in home for s in r.column("shingles").to_pylist()]
-            home = []
         ids, comps, sigs, sets = known
         a, b = [], []
-        for i, c, s, own in zip(*_unpack([rows]), rows.column("shingles").to_pylist(), strict=True):
+        for i, c, s, own in zip(*_unpack([probes]), probes.column("shingles").to_pylist(), strict=True):
             agree = np.where(comps == c, 0, _agreement(s, sigs))
             near = np.flatnonzero(agree >= AGREE)
-            done: set[int] = set()
             own = np.frombuffer(own, U)
             for j in near[np.argsort(-agree[near], kind="stable")].tolist():
-                if comps[j] not in done and _similar(own, np.frombuffer(sets[j], U)):
-                    done.add(comps[j])
+                if (x := root(int(c))) != (y := root(int(comps[j]))) and _similar(own, np.frombuffer(sets[j], U)):
+                    joined[x] = y
                     a.append(i)
                     b.append(ids[j])
         if a:
@@ -225,7 +236,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP, rounds: int = 1):
         self.group, self.text = group, docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-        sketches = staged(self.text.filter("doc is not null").mapInArrow(_sketch, "doc long, n long, set_key binary, bands array<long>, sig binary"), "sketches")
+        sketches = staged(self.text.filter("doc is not null").transform(arrow, _sketch, "doc long, n long, set_key binary, bands array<long>, sig binary"), "sketches")
         # One row per distinct set, whatever the number of its copies.
         classes = sketches.filter("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         classes = staged(classes, "classes")
@@ -238,7 +249,7 @@ class NearDuplicates:
         ids = self.buckets.select("id").distinct()
         self.sigs = staged(classes.select(F.col("rep").alias("id"), "sig").join(ids, "id", "left_semi"), "signatures")
         rows = self.text.withColumnRenamed("doc", "id").join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
-        self.sets = staged(rows.mapInArrow(_sets, "id long, shingles binary"), "sets")
+        self.sets = staged(rows.transform(arrow, _sets, "id long, shingles binary"), "sets")
         self.comps = self.sigs.select("id", F.col("id").alias("comp"))
         for step in range(rounds + 1):
             links = staged(self._confirmed(self._likely(step == 0)) if step < rounds else self._rest(), "links")
@@ -264,32 +275,36 @@ class NearDuplicates:
 
     def _likely(self, first: bool) -> DataFrame:
         """Pairs (a, b): each class and its best neighbour over all its buckets."""
-        near = self._parts(self._open(first)).mapInArrow(_nearest, "a long, b long, n int")
+        near = self._parts(self._open(first)).transform(arrow, _nearest, "a long, b long, n int")
         best = near.groupBy("a").agg(F.max(F.struct("n", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def _rest(self) -> DataFrame:
-        """Links (a, b) of all classes that share a band and are in different components, one for each class and component.
+        """Links (a, b) that join all components with a link between classes that share a band.
 
-        All of a bucket that is dealt into parts is one family. Everything in a family but its largest component goes past
-        each part of the family.
+        All of a bucket that is dealt into parts is one family. Everything in a family but its largest component goes past the
+        whole family, part by part on either side, so that no task gets more than a part of each.
         """
         rows = staged(self._open(), "open-rows")
-        ties = self._parts(rows).mapInArrow(_families, "a long, b long").unionAll(rows.filter(F.col("m") > self.group).select(F.col("id").alias("a"), F.col("low").alias("b")))
+        ties = self._parts(rows).transform(arrow, _families, "a long, b long").unionAll(rows.filter(F.col("m") > self.group).select(F.col("id").alias("a"), F.col("low").alias("b")))
         rows = components(ties).withColumnRenamed("comp", "family").join(self.comps, "id")
         counts = rows.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("family").agg(F.sum("k").alias("m"), F.max(F.struct("k", "comp")).alias("x"))
-        counts = staged(counts.select("family", F.ceil(F.col("m") / self.group).cast("int").alias("parts"), F.col("x.comp").alias("main")), "families")
-        rows = rows.join(counts, "family").join(self.sigs, "id").join(self.sets, "id")
+        dealt = lambda n: F.ceil(n / self.group).cast("int")
+        counts = counts.filter("m > x.k").select("family", dealt(F.col("m")).alias("parts"), dealt(F.col("m") - F.col("x.k")).alias("sides"), F.col("x.comp").alias("main"))
+        rows = rows.join(staged(counts, "families"), "family").join(self.sigs, "id").join(self.sets, "id")
         what = ["id", "comp", "sig", "shingles"]
-        home = rows.select("family", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("probe"), *what)
-        probes = rows.filter("comp <> main").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), *what)
-        return home.unionAll(probes).repartition("family", "part").sortWithinPartitions("family", "part", "probe").mapInArrow(_across, "a long, b long")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda n, salt: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.col(n)).cast("int")
+        home = rows.select("family", own("parts", 1).alias("part"), each("sides").alias("against"), F.lit(0).alias("probe"), *what)
+        probes = rows.filter("comp <> main").select("family", each("parts").alias("part"), own("sides", 2).alias("against"), F.lit(1).alias("probe"), *what)
+        by = ["family", "part", "against"]
+        return home.unionAll(probes).repartition(*by).sortWithinPartitions(*by, "probe").transform(arrow, _across, "a long, b long")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough. An id in many pairs is a skewed join, which Spark splits."""
         left = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
         right = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(arrow, _confirm, "a long, b long")
 
     def labels(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept; see near_duplicates()."""
