@@ -367,7 +367,7 @@ def tie_histogram(spark, d):
 
 
 @query(f"WITH {rows_sql(K, MC, K)} SELECT count(DISTINCT read_key) AS n_reads FROM rows")
-def num_class_distinct(spark, d):
+def scored_read_count(spark, d):
     return A.scored_reads(compared(spark, d))
 
 
