@@ -19,7 +19,7 @@ from .common import hash_unit, small_table, staged, word_count
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 SEED = 20
 FLAT, NONE, FULL = "tilt", "none", "full"
-_PARAMS = "source string, target double, mode string, lam double, unit double, theta double"
+_PARAMS = "source string, target double, mode string, lam double, unit double, theta double, extra array<string>"
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -66,14 +66,14 @@ class Mix:
             raise ValueError(f"more than {max_sources} sources; raise max_sources or map sources to fewer")
         self.words = {r["source"]: int(r["words"] or 0) for r in totals}
         self.target = targets(list(self.words.items()), weights, share, cap)
-        self.state = {s: {"target": float(t), "mode": FULL if t >= cap * self.words[s] else FLAT if t > 0 else NONE, "lam": 0.0, "unit": 1.0, "theta": 0.0} for s, t in self.target.items()}
+        self.state = {s: {"target": float(t), "mode": FULL if t >= cap * self.words[s] else FLAT if t > 0 else NONE, "lam": 0.0, "unit": 1.0, "theta": 0.0, "extra": []} for s, t in self.target.items()}
         for r in totals:
             self.state[r["source"]]["unit"] = float(max(1, r["longest"] or 0))
         self._newton(steps)
         self._round()
 
     def params(self) -> DataFrame:
-        return F.broadcast(small_table(self.spark, [(s, v["target"], v["mode"], v["lam"], v["unit"], v["theta"]) for s, v in self.state.items()], _PARAMS).withColumnRenamed("source", "_source"))
+        return F.broadcast(small_table(self.spark, [(s, v["target"], v["mode"], v["lam"], v["unit"], v["theta"], v["extra"]) for s, v in self.state.items()], _PARAMS).withColumnRenamed("source", "_source"))
 
     def _with(self, df: DataFrame) -> DataFrame:
         return df.join(self.params(), df["source"].eqNullSafe(F.col("_source")), "left")
@@ -106,44 +106,63 @@ class Mix:
                     v["lam"] = lam * 2 + (1.0 if gap < 0 else -1.0)
 
     def _key(self) -> Column:
-        """Above its source's theta, a document gets the copy that its rate has a fraction of. Order: by chance, weighted by that fraction."""
+        """From its source's theta on, a document gets the copy that its rate has a fraction of. Order: by chance, weighted by that fraction."""
         r = _rate(self.cap)
         return (r - F.floor(r)) - hash_unit(F.col("doc_id"), F.lit(SEED))
 
-    def _round(self, levels: int = 3, fan: int = 1024) -> None:
-        """Theta per source, so that whole copies meet the target within one document.
+    def _round(self, levels: int = 3, fan: int = 1024, fills: int = 4) -> None:
+        """Theta per source, so that whole copies come up to the target but for less than a document, and a few more documents.
 
-        Sums over bins of the key narrow theta to a bin, then to a part of it, levels times.
+        Sums over bins of the key narrow theta to a bin, then to a part of it, levels times. What is left then takes the
+        document that comes closest to it, fills times.
         """
         r = _rate(self.cap)
-        docs = self._with(self.sizes).filter((F.col("mode") == FLAT) & (F.col("size") > 0)).select("_source", "size", "target", F.floor(r).alias("whole"), self._key().alias("v"), (r < self.cap).alias("open"))
+        docs = self._with(self.sizes).filter((F.col("mode") == FLAT) & (F.col("size") > 0)).select("_source", F.col("doc_id").cast("string").alias("doc"), "size", F.floor(r).alias("whole"), self._key().alias("v"), (r < self.cap).alias("open"))
         docs = staged(docs, "rates")
         base = {x["_source"]: x["b"] for x in docs.groupBy("_source").agg(F.sum(F.col("size") * F.col("whole")).alias("b")).collect()}
-        span = {s: (-1.0, 2.0 / fan, v["target"] - base.get(s, 0)) for s, v in self.state.items() if v["mode"] == FLAT}
-        for level in range(levels):
+        need = {s: v["target"] - base.get(s, 0) for s, v in self.state.items() if v["mode"] == FLAT}
+        span = {s: (-1.0, 2.0 / fan) for s in need}
+        for _ in range(levels):
             if not span:
-                return
-            at = F.broadcast(small_table(self.spark, [(s, *x) for s, x in span.items()], "s string, low double, width double, need double"))
+                break
+            at = F.broadcast(small_table(self.spark, [(s, *x, need[s]) for s, x in span.items()], "s string, low double, width double, need double"))
             bins = docs.filter("open").join(at, F.col("_source").eqNullSafe(F.col("s"))).withColumn("bin", F.floor((F.col("v") - F.col("low")) / F.col("width")))
             bins = bins.filter((F.col("bin") >= 0) & (F.col("bin") < fan)).groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
             # At most fan rows a source, from the top bin down.
             bins = bins.withColumn("cum", F.sum("words").over(Window.partitionBy("s").orderBy(F.desc("bin"))))
-            cut = bins.filter(F.col("cum") > F.col("need")).groupBy("s").agg(F.max(F.struct("bin", "cum", "words")).alias("c")).collect()
+            cut = bins.groupBy("s").agg(F.max(F.when(F.col("cum") > F.col("need"), F.col("bin"))).alias("bin"), F.max(F.when(F.col("cum") <= F.col("need"), F.col("cum"))).alias("taken"))
             left = {}
-            for row in cut:
-                low, width, need = span[row["s"]]
-                above = float(row["c"]["cum"] - row["c"]["words"])
-                edge = low + row["c"]["bin"] * width
-                take = level == levels - 1 and float(row["c"]["cum"]) - need < need - above
-                self.state[row["s"]]["theta"] = edge if take else edge + width
-                left[row["s"]] = (edge, width / fan, need - above)
-            for s in span.keys() - left.keys():  # all of the span is taken
-                self.state[s]["theta"] = span[s][0] if level == 0 else self.state[s]["theta"] - span[s][1] * fan
+            for row in cut.collect():
+                s = row["s"]
+                low, width = span[s]
+                need[s] -= row["taken"] or 0
+                # The bin that is too much goes on to the next level; theta lies above it.
+                if row["bin"] is None:
+                    self.state[s]["theta"] = low
+                else:
+                    edge = low + row["bin"] * width
+                    self.state[s]["theta"], left[s] = edge + width, (edge, width / fan)
             span = left
+        for _ in range(fills):
+            at = [(s, n, self.state[s]["theta"], self.state[s]["extra"]) for s, n in need.items() if n >= 1]
+            if not at:
+                return
+            at = F.broadcast(small_table(self.spark, at, "s string, need double, theta double, extra array<string>"))
+            rest = docs.filter("open and doc is not null").join(at, F.col("_source").eqNullSafe(F.col("s"))).filter((F.col("v") < F.col("theta")) & ~F.array_contains("extra", F.col("doc")))
+            # Rows that share a key are taken together.
+            rest = rest.groupBy("s", "doc", "need").agg(F.sum("size").alias("size"))
+            found, pair = rest.groupBy("s"), F.struct("size", "doc")
+            for s, under, over in found.agg(F.max(F.when(F.col("size") <= F.col("need"), pair)), F.min(F.when(F.col("size") > F.col("need"), pair))).collect():
+                if over and over["size"] - need[s] < need[s] - (under["size"] if under else 0):
+                    under = over
+                if under:
+                    self.state[s]["extra"].append(under["doc"])
+                need[s] = need[s] - under["size"] if under else 0
 
     def _copies(self) -> Column:
         r = _rate(self.cap)
-        copies = F.floor(r) + ((r < self.cap) & (self._key() >= F.col("theta"))).cast("long")
+        more = (self._key() >= F.col("theta")) | F.coalesce(F.array_contains("extra", F.col("doc_id").cast("string")), F.lit(False))
+        copies = F.floor(r) + ((r < self.cap) & more).cast("long")
         return F.when(F.col("size") == 0, F.lit(1)).when(F.col("mode") == FULL, F.lit(int(self.cap))).when(F.col("mode") == NONE, F.lit(0)).otherwise(copies).cast("long")
 
     def taken(self) -> DataFrame:
