@@ -66,15 +66,19 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # --- candidates -----------------------------------------------------------------------------------------------
 
-#: Where digits with separators stand close together; the generators for numbers only look there.
-_REGION = re.compile(r"[0-9(](?:[()\[\]., _/-]{0,3}[0-9]){3,}")
+#: Longest runs of all characters that the generators for numbers take, from a digit or a bracket on, as the shortest number has 7:
+#: every match lies in one run, whose neighbours are no digits, so that the generators find there what they find in the whole text.
+_REGION = re.compile(r"[0-9(][0-9()\[\]., _/-]{6,}")
 _NUMBERS = {
     "ip": re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(]?[.,][\])]? ?[0-9]{1,3}){3}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,2}[0-9]{3,6}){2,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])\(?(?:00)?[0-9]{1,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,4}\)?){1,4}[0-9]*(?![0-9])"),
 }
 _DIGITS = {"ip": (4, 12), "card": (12, 19), "phone": (9, 15)}
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}")
+#: Case is that of ASCII, as without that flag [a-z] would take two letters beyond it.
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}+(?: ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}", re.IGNORECASE | re.ASCII)
+#: Every match of _SPELLED has one of these.
+_AT = re.compile(r" at |[\[(] ?at ?[\])]", re.IGNORECASE | re.ASCII)
 #: Words near a span that speak for a kind, and words that speak for something else.
 _WORDS = {"email": ("mail", "contact", "write", "reach"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "credit", "pay", "amex"), "phone": ("phone", "tel", "call", "mobile", "fax", "cell")}
 _OTHER = ("order", "isbn", "version", "invoice", "part", "ref", "no.", "#", "sku", "total", "dated", "page", "serial")
@@ -84,7 +88,7 @@ NEAR = 24
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans, which may overlap one another and the base spans."""
     out = []
-    if "dot" in text or "(at" in text or "[at" in text:
+    if _AT.search(text):
         out += [("email", *m.span()) for m in _SPELLED.finditer(text)]
     for region in _REGION.finditer(text):
         a, b = region.span()
@@ -96,7 +100,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
     """Format of the span and what stands beside it."""
-    s, digits = text[a:b], digits_of(text[a:b])
+    s, digits = text[a:b].lower(), digits_of(text[a:b])
     before, after = text[max(0, a - NEAR) : a].lower(), text[b : b + NEAR].lower()
     groups = [len(g) for g in re.findall("[0-9]+", s)]
     own = [w in before for w in _WORDS[kind]]

@@ -67,6 +67,36 @@ def test_added_spans():
         assert spans(clean) == [], clean
 
 
+def unguarded(text):
+    """What the generators propose when they look at all of the text."""
+    out = {("email", *m.span()) for m in pii._SPELLED.finditer(text)}
+    for kind, pattern in pii._NUMBERS.items():
+        out |= {(kind, *m.span()) for m in pattern.finditer(text) if pii._DIGITS[kind][0] <= len(pii.digits_of(m[0])) <= pii._DIGITS[kind][1]}
+    return out
+
+
+def test_guards_hide_no_candidate():
+    rng = random.Random(6)
+    bits = ["jane", "x.y", "example", "com", " at ", " AT ", "[at]", "[ at ]", " ( At ) ", " dot ", " [DOT] ", "(dot)", ".", ",", " ", "(", ")", "[", "]", "-", "/", "_", "7", "12", "555", "4111", "00", " [.] ", "é", "\n"]
+    found = 0
+    for _ in range(30_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 16)))
+        got = pii.candidates(text)
+        assert len(got) == len(set(got)) and set(got) == unguarded(text), text
+        found += len(got)
+    assert found > 500
+
+
+def test_candidates_in_every_spelling():
+    for s in ("jane [ at ] example.com", "jane ( at ) example.com", "jane at example.com", "jane [AT] example [DOT] com", "Jane (At) Example (Dot) Com"):
+        for rest in ("", " an anecdote"):
+            text = f"mail {s}{rest}"
+            assert ("email", 5, 5 + len(s)) in pii.candidates(text), text
+        assert pii.features(f"mail {s}", "email", 5, 5 + len(s)) == pii.features(f"mail {s.lower()}", "email", 5, 5 + len(s))
+    assert ("ip", 3, 3 + len("10 [.] 20 [.] 30 [.] 40")) in pii.candidates("ip 10 [.] 20 [.] 30 [.] 40")
+    assert ("phone", 5, 19) in pii.candidates("call 555 123 (4567)")
+
+
 def test_added_spans_touch_no_base_span():
     rng = random.Random(9)
     for _ in range(3000):
