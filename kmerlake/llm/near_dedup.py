@@ -29,11 +29,14 @@ SHINGLE = 5
 #: Similarity as a fraction of whole numbers.
 SIMILAR = (75, 100)
 PERMUTATIONS, BAND = 64, 4
+#: Sets of up to so many shingles have as many bands again: of few shingles a permutation's least and greatest value depend on each other, so a
+#: band of similar sets differs more often.
+FEW = 32
 #: A pair whose signatures agree on fewer values isn't checked: at similarity 0.75 that is over 4 (mostly over 6) standard deviations off.
 AGREE = PERMUTATIONS
 #: Classes that are compared at once.
 GROUP = 512
-_ODD = (np.random.default_rng(11).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << U(1)) | U(1)
+_ODD = (np.random.default_rng(11).integers(0, 1 << 63, 2 * PERMUTATIONS, dtype=np.uint64) << U(1)) | U(1)
 _MIX = (np.random.default_rng(12).integers(0, 1 << 63, BAND, dtype=np.uint64) << U(1)) | U(1)
 
 
@@ -46,10 +49,11 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Least and greatest value under each permutation, in turn."""
-    least, most = np.full(PERMUTATIONS, ~U(0)), np.zeros(PERMUTATIONS, U)
+    """Least and greatest value under each permutation, in turn; for FEW shingles or less under twice as many permutations."""
+    odd = _ODD if len(shingles) <= FEW else _ODD[:PERMUTATIONS]
+    least, most = np.full(len(odd), ~U(0)), np.zeros(len(odd), U)
     for i in range(0, len(shingles), 4096):
-        p = shingles[i : i + 4096, None] * _ODD
+        p = shingles[i : i + 4096, None] * odd
         least, most = np.minimum(least, p.min(0)), np.maximum(most, p.max(0))
     return mix(np.stack([least, most], 1).reshape(-1))
 
@@ -68,7 +72,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = signature(shingles) if len(shingles) else None
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
             band.append(bands(values).view(np.int64) if len(shingles) else None)
-            short.append((values >> U(56)).astype(np.uint8).tobytes() if len(shingles) else None)
+            short.append((values[: 2 * PERMUTATIONS] >> U(56)).astype(np.uint8).tobytes() if len(shingles) else None)
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["doc", "n", "set_key", "bands", "sig"])
 
 
