@@ -4,6 +4,8 @@ import os
 import subprocess
 import sys
 
+import numpy as np
+
 import corpus_pipeline
 from kmerlake.llm import lang_id
 from kmerlake.llm.common import staged
@@ -48,6 +50,32 @@ def check(spark, docs):
     assert keys(ids) == keys(mixed) and ids.filter("not lossless").isEmpty()
 
 
+def trigram_vector(text):
+    """The text's profile, letter by letter; only the letters' random vectors are the operator's."""
+    marked = [0]
+    for c in text.lower():
+        slot = 0 if not c.isalpha() else ord(c) if ord(c) < lang_id.DIRECT else lang_id.DIRECT + ord(c) % lang_id.POOLED
+        if slot or marked[-1]:
+            marked.append(slot)
+    if marked[-1]:
+        marked.append(0)
+    v = lang_id._letters()[1].astype(float)
+    return sum((np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(marked, marked[1:], marked[2:])), np.zeros(lang_id.DIMS))
+
+
+def test_language_id_rejects_only_what_has_no_letter(spark):
+    """Rows worked out without the operator; a script that no profile knows passes like any other text."""
+    said = {"en": "the cat sat on the mat and thought of the other cat", "fr": "le chat est sur la table avec son ami le chien"}
+    rows = [(i, said[k], k, "a", 0) for i, k in enumerate(["en", "fr"] * 10)]
+    odd = ["", None, "123 !", "\u4f60\u597d\u4e16\u754c", "\u0431\u044b\u0441\u0442\u0440\u043e", "zqx", "\u03b1\u03b2\u03b3 \u03b4\u03b5", "x"]
+    rows += [(100 + i, t, None, "a", 0) for i, t in enumerate(odd)]
+    profiles = [trigram_vector(t) for t in said.values()]
+    cosines = {r[0]: [trigram_vector(r[1] or "") @ p for p in profiles] for r in rows}
+    want = sorted(k for k, c in cosines.items() if max(c) > 0)
+    assert not {100, 101, 102} & set(want) and set(range(20)) < set(want) and set(want) & {103, 104, 106}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, frame(spark, rows), "").collect()) == want
+
+
 def test_made_up_documents(spark):
     check(spark, frame(spark, documents(n=120) + edge_rows(), True))
 
