@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh_path, staged
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256))
+
+
 @dataclass
 class DigestIndex:
     """A digest index in a folder of the shared store; name: its table in the session's catalog.
@@ -52,7 +56,7 @@ class DigestIndex:
         - A null key never wins over another; a group of null keys only has keep_id null and kept true.
         - Other columns are not read. An empty batch gives an empty result and appends nothing.
         """
-        digests = staged(docs.select(F.col(key).cast("long").alias("key"), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)).alias("digest")), "digests")
+        digests = staged(docs.select(F.col(key).cast("long").alias("key"), digest_of(F.col(text)).alias("digest")), "digests")
         groups = digests.groupBy("digest").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))
         old = self.rows()
         batch = (old.agg(F.max("batch")).first()[0] or 0) + 1
@@ -72,6 +76,20 @@ class DigestIndex:
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows without a key are all kept."""
-    gone = index.add(docs, text, key).filter(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: one for each text that no earlier batch has, that with the largest key.
+
+    Of rows with the same text and key any one stays. A row without a key goes if its text has a row with a key, and of several
+    such rows any one stays; of those that have no text either one stays in any case.
+    """
+
+    def place(digest: Column, number: Column) -> Column:
+        """Names a text and a key; just the text if the key is null."""
+        return F.concat(digest, F.coalesce(F.unhex(F.lpad(F.hex(number), 16, "0")), F.unhex(F.lit(""))))
+
+    names = docs.columns
+    gone = index.add(docs, text, key).filter(~F.col("kept")).select(place(F.col("digest"), F.col(key)).alias("gone")).distinct()
+    bare = F.col(key).isNull() & F.col(text).isNull()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.when(~bare, place(digest_of(F.col(text)), F.col(key).cast("long"))).alias("place"))
+    # Partial sums take a repeated row once before rows are dealt out, and the join finds them dealt by place.
+    once = rows.groupBy("place").agg(F.first("row").alias("row"))
+    return once.join(gone, F.col("place") == F.col("gone"), "left_anti").select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -329,6 +329,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", gr
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without those that aren't kept; all columns stay. Rows without a key stay."""
-    gone = near_duplicates(docs, text, key).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """docs without those that aren't kept; all columns stay.
+
+    Rows without a key, and the further texts of a key that has several, are documents with made-up keys behind all others (which
+    must be under 2^62 then). Rows with the same key and text stay or go together.
+    """
+    names = docs.columns
+    number, content = F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), number.alias("doc"), F.col(text).alias("text"), content.alias("content"))
+    several = rows.filter("doc is not null").groupBy("doc").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low < high")
+    several = staged(several.select(F.col("doc").alias("odd"), "low"), "keys-of-several-texts")
+    plain = rows.filter("doc is not null")
+    further = plain.join(several, (F.col("doc") == F.col("odd")) & (F.col("content") != F.col("low")), "left_semi")
+    odd = staged(rows.filter("doc is null").withColumn("made", F.xxhash64(F.monotonically_increasing_id())).unionAll(further.withColumn("made", F.lit(None).cast("long"))), "odd-rows")
+    if not odd.isEmpty():
+        plain = plain.join(several, (F.col("doc") == F.col("odd")) & (F.col("content") != F.col("low")), "left_anti")
+        # Behind all keys; 61 bits of a hash of the row, or of key and text.
+        made = F.lit(1 << 62) + F.shiftrightunsigned(F.coalesce("made", F.xxhash64("doc", "content")), 3)
+        plain = plain.unionAll(odd.select("row", made.alias("doc"), "text", "content"))
+    gone = near_duplicates(plain, "text", "doc").filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return plain.join(gone, F.col("doc") == F.col("gone"), "left_anti").select(*[F.col("row").getField(c).alias(c) for c in names])

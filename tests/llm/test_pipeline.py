@@ -80,6 +80,20 @@ def test_made_up_documents(spark):
     check(spark, frame(spark, documents(n=120) + edge_rows(), True))
 
 
+def test_copies_go_by_row(spark):
+    """Rows without a key, repeated rows, and a key of several texts."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "no key", "en", "a", 1), (None, "NO KEY", "en", "b", 2), (None, "no key", "en", "a", 1), (None, "has one", "en", "a", 3), (5, "Has one", "en", "a", 4)]
+    rows += [(6, "twice", "en", "a", 5), (6, "twice", "en", "a", 5), (7, "a copy", "en", "a", 6), (8, "A copy", "en", "a", 7), (7, "its own text", "en", "a", 8)]
+    rows += [(9, long, "en", "a", 9), (None, long + " x", "en", "a", 10), (None, long + " y", "en", "a", 11), (10, long + " z", "en", "a", 12), (10, "another text of ten", "en", "a", 13), (-3, "less than none", "en", "a", 14)]
+    exact = staged(corpus_pipeline.exact_dedup(spark, frame(spark, rows, True), ""), "exact")
+    told = lambda df: sorted((str(r["doc_id"]), r["text"].lower()) for r in df.collect())
+    want = [("None", "no key"), ("5", "has one"), ("6", "twice"), ("8", "a copy"), ("7", "its own text"), ("10", "another text of ten"), ("-3", "less than none"), ("9", long)]
+    assert told(exact) == sorted([*want, ("None", long + " x"), ("None", long + " y"), ("10", long + " z")])
+    near = corpus_pipeline.near_duplicates(spark, exact, "")
+    assert near.columns == exact.columns and told(near) == sorted(want)
+
+
 def test_driver_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check(spark, docs)
