@@ -27,7 +27,9 @@ GI_MAP = "m AS (SELECT o_orderkey AS gi, o_custkey AS tax_id FROM orders WHERE o
 
 
 def gi_map(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("gi"), F.col("o_custkey").alias("tax_id"))
+    # No GI is negative, so an order without a taxon has a key that none meets.
+    gi = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey"))
+    return t(spark, d, "orders").select(gi.alias("gi"), F.col("o_custkey").alias("tax_id"))
 
 
 @query(f"WITH {LINES} SELECT l_orderkey, l_linenumber, {GI} AS gi FROM l")
@@ -165,8 +167,9 @@ def missing_databases(spark, d):
 
 @query("SELECT CAST(item_id AS INTEGER) AS pos, 'file' || CAST(item_id AS VARCHAR) AS file, r_name AS \"group\" FROM benchmark JOIN region ON r_regionkey = item_id")
 def file_group_zip(spark, d):
-    files = t(spark, d, "benchmark").filter("item_id < 5").select(F.col("item_id").cast("int").alias("pos"), F.concat(F.lit("file"), F.col("item_id").cast("string")).alias("file"))
-    return fasta.zip_lists(files, t(spark, d, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("group")))
+    # Both lists hold every item that has a region, as the SQL's join does; zip_lists demands equal lengths.
+    items = t(spark, d, "benchmark").join(t(spark, d, "region"), F.col("r_regionkey") == F.col("item_id")).withColumn("pos", F.col("item_id").cast("int"))
+    return fasta.zip_lists(items.select("pos", F.concat(F.lit("file"), F.col("item_id").cast("string")).alias("file")), items.select("pos", F.col("r_name").alias("group")))
 
 
 # --- taxa -----------------------------------------------------------------------------------------------------
