@@ -57,7 +57,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """A page's outcome is the label of the document that its path numbers: good if of quality and not toxic."""
-    number = F.expr("try_cast(regexp_extract(_path, '^/[^/]+/([0-9]{1,18})', 1) as bigint)")
+    number = F.expr("try_cast(regexp_extract(_path, '^/[^/]+/([0-9]{1,18})(?![0-9])', 1) as bigint)")
     numbered = pages.select("page_id", path_of(F.col("url")).alias("_path")).select("page_id", number.alias("doc_id")).filter("doc_id is not null")
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double")
     return numbered.join(labels.select("doc_id", good.alias("good")), "doc_id").select("page_id", "good")
