@@ -1,4 +1,7 @@
-"""Bases, k-mers and strands as column expressions and DataFrame steps. No UDFs."""
+"""Bases, k-mers and strands as column expressions and DataFrame steps. No UDFs.
+
+A k-mer is a number, two bits a base; kmer_text() writes it out.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K_MIN, K_MAX = 8, 31
-#: Positions of a tile: long strings are cut before k-mers are taken, as substring() walks from a string's start.
-TILE = 256
+#: Bases of a tile, as many as a number holds at two bits each. A window lies in a tile and the one behind it.
+TILE = 31
 #: Fixed mapping of letters to bases for text that isn't DNA: the alphabet, in turn, to A, C, G, T.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASES = "ACGT"
@@ -58,18 +61,43 @@ def kmer_text(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def _tile(part: Column) -> tuple[Column, Column]:
+    """A tile's bases as a number, with A for what is no base, and a bit for each place that has none. Few tiles have such a place."""
+    bad = F.when(part.contains("N"), F.conv(F.translate(part, "ACGTN", "00001"), 2, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    return kmer_code(F.translate(part, "N", "A")), bad
+
+
 def explode_kmers(df: DataFrame, k: int, seq: str = "seq", valid_only: bool = True) -> DataFrame:
-    """df's columns but seq, with pos (from 0) and kmer: a row for each place; shorter sequences have none.
+    """df's columns but seq, with pos (from 0), kmer and next_valid: a row for each place; shorter sequences have none.
 
-    Tiles overlap by k - 1 bases, so each place is in exactly one of them, and the work is linear in the length.
+    The sequence, of A, C, G, T and N, is cut into tiles once, and each tile becomes a number once; a window is cut out of
+    two neighbouring numbers by shifts. So the work is linear in the length, and no k-mer is ever a string.
+    next_valid: the base behind the window is one (false at the end). Without valid_only all places come, with a column valid.
     """
     rest = [c for c in df.columns if c != seq]
-    length = F.length(seq)
-    tiles = df.filter(length >= k).select(*rest, F.col(seq).alias("_seq"), F.explode(F.sequence(F.lit(0), F.floor((length - k) / TILE).cast("int"))).alias("_tile"))
-    tiles = tiles.select(*rest, "_tile", F.substring("_seq", F.col("_tile") * TILE + 1, F.lit(TILE + k - 1)).alias("_part"))
-    places = tiles.select(*rest, "_tile", "_part", F.explode(F.sequence(F.lit(0), F.length("_part") - k)).alias("_at"))
-    out = places.select(*rest, (F.col("_tile") * TILE + F.col("_at")).alias("pos"), F.substring("_part", F.col("_at") + 1, F.lit(k)).alias("kmer"))
-    return out.filter(is_valid(F.col("kmer"))) if valid_only else out
+    kept = [F.col(f"`{c}`") for c in rest]
+    cut = df.filter(F.length(seq) >= k).select(*kept, F.length(seq).alias("_len"), F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0)).alias("_tiles"))
+    # Neighbours side by side; what lies behind the end is no base.
+    pairs = F.zip_with("_tiles", F.slice("_tiles", 2, F.size("_tiles")), lambda a, b: F.struct(F.rpad(a, TILE, "N").alias("a"), F.rpad(F.coalesce(b, F.lit("")), TILE, "N").alias("b")))
+    tiles = cut.select(*kept, "_len", F.posexplode(pairs).alias("_tile", "_p"))
+    (a, a_bad), (b, b_bad) = _tile(F.col("_p.a")), _tile(F.col("_p.b"))
+    tiles = tiles.select(*kept, "_len", (F.col("_tile") * TILE).alias("_from"), a.alias("_a"), b.alias("_b"), a_bad.alias("_ax"), b_bad.alias("_bx"))
+    places = tiles.select(*kept, "_len", "_from", "_a", "_b", "_ax", "_bx", F.explode(F.array(*[F.lit(i) for i in range(TILE)])).alias("_at")).filter(F.col("_from") + F.col("_at") + k <= F.col("_len"))
+    # A window of n bases from _at on ends over places behind the first tile, or as many before its end.
+    over = f"(_at + {k} - {TILE})"
+
+    def window(first: str, second: str, width: int) -> Column:
+        own = f"{first} & (shiftleft(1L, {width} * ({TILE} - _at)) - 1)"
+        inside = f"shiftright({own}, {width} * -{over})"
+        across = f"shiftleft({own}, {width} * {over}) | shiftright({second}, {width} * ({TILE} - {over}))"
+        return F.expr(f"case when {over} <= 0 then {inside} else {across} end")
+
+    at = f"{over}"
+    behind = F.expr(f"case when {at} < 0 then shiftright(_ax, -{at} - 1) & 1 else shiftright(_bx, {TILE - 1} - {at}) & 1 end")
+    valid = window("_ax", "_bx", 1) == 0
+    found = places.filter(valid) if valid_only else places.withColumn("valid", valid)
+    kmer = window("_a", "_b", 2)
+    return found.select(*kept, (F.col("_from") + F.col("_at")).alias("pos"), (kmer if valid_only else F.when(F.col("valid"), kmer)).alias("kmer"), (behind == 0).alias("next_valid"), *([] if valid_only else ["valid"]))
 
 
 def segments(df: DataFrame, seq: str = "seq") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .score import MISMATCH
+from .score import MISMATCH, label_without_hits
 
 UNIQUE, ONE, ALL = -1, 0, 1
 
@@ -23,6 +23,24 @@ def candidates(rows: DataFrame, similarity: int = 100, mismatches: bool = True,
     return kept.withColumn("n_groups", F.count(F.lit(1)).over(w))
 
 
+def candidates_of_hits(rows: DataFrame, reads: DataFrame, n_groups: Column, k: int, similarity: int = 100, mismatches: bool = True, mc: float = 0.05, key: str = "read_key", group: str = "group") -> DataFrame:
+    """The candidates among the rows of compare_hits(), with best and n_groups as candidates() gives them.
+
+    A read without a match in any group has one row here, with group null, in place of a row for every group. reads: key and len of
+    all reads, a row each; n_groups: the number of groups. A similarity so small that rows without a hit pass is refused.
+    """
+    if similarity * k < 100:
+        raise ValueError("a similarity that rows without a match pass needs all rows: use candidates()")
+    rows = rows.select(key, group, "len", "match", "min_err", "label", F.lit(False).alias("_alone"))
+    rows = rows if mismatches else rows.filter(F.col("label") != MISMATCH)
+    alone = reads.select(key, F.lit(None).cast(rows.schema[group].dataType).alias(group), "len", F.lit(0).alias("match"), F.lit(None).cast("int").alias("min_err"), label_without_hits(F.col("len"), mc).alias("label"), F.lit(True).alias("_alone"))
+    alone = alone if mismatches else alone.filter(F.col("label") != MISMATCH)
+    w = Window.partitionBy(key)
+    best = rows.unionAll(alone).withColumn("best", F.max("match").over(w))
+    kept = best.filter(F.when(F.col("_alone"), F.col("best") == 0).otherwise((F.col("best") > 0) & (F.col("match") >= F.floor(F.col("best") * similarity / 100))))
+    return kept.withColumn("n_groups", F.when(F.col("_alone"), n_groups).otherwise(F.count(F.lit(1)).over(w))).drop("_alone")
+
+
 def rank(rows: DataFrame, key: str = "read_key", group: str = "group") -> DataFrame:
     """place: by match, falling, then errors, then the group's name."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("match"), "min_err", group)))

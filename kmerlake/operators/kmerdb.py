@@ -1,4 +1,4 @@
-"""k-mer databases: one row for each group and k-mer, with its count."""
+"""k-mer databases: one row for each group and k-mer, a number, with its count."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import check_k, explode_kmers, kmer_code, normal_bases
+from ..functions.dna import BASES, check_k, explode_kmers, kmer_text, normal_bases
 
 #: A count takes one byte.
 COUNT_MAX = 255
@@ -24,10 +24,14 @@ def count_kmers(seqs: DataFrame, k: int, group: str | list[str] = "group", seq:
     return kmers.groupBy(*groups, "kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def build(seqs: DataFrame, k: int, group: str | list[str] = "group", seq: str = "seq", min_count: int = 1, packed: bool = False) -> DataFrame:
-    """A database: group, kmer, cnt up to 255. min_count leaves out rarer k-mers; packed stores k-mers as numbers."""
-    counts = count_kmers(seqs, k, group, seq).filter(F.col("cnt") >= min_count).withColumn("cnt", saturate(F.col("cnt")))
-    return counts.withColumn("kmer", kmer_code(F.col("kmer"))) if packed else counts
+def build(seqs: DataFrame, k: int, group: str | list[str] = "group", seq: str = "seq", min_count: int = 1) -> DataFrame:
+    """A database: group, kmer, cnt up to 255. min_count leaves out rarer k-mers."""
+    return count_kmers(seqs, k, group, seq).filter(F.col("cnt") >= min_count).withColumn("cnt", saturate(F.col("cnt")))
+
+
+def written_out(db: DataFrame, k: int) -> DataFrame:
+    """The same with k-mers as text."""
+    return db.withColumn("kmer", kmer_text(F.col("kmer"), k))
 
 
 def members(seqs: DataFrame, k: int, wanted: DataFrame, group: str | list[str] = "group", seq: str = "seq") -> DataFrame:
@@ -49,18 +53,23 @@ def stats(counts: DataFrame, group: str = "group") -> DataFrame:
     )
 
 
-def special_kmers(k: int) -> dict[str, str]:
+def code_of(kmer: str) -> int:
+    return sum(BASES.index(b) << 2 * i for i, b in enumerate(reversed(kmer)))
+
+
+def special_kmers(k: int) -> dict[str, int]:
     """The k-mers that low-complexity sequence is full of."""
-    return {"all_a": "A" * k, "all_t": "T" * k, "all_c": "C" * k, "a_then_g": "A" * (k - 1) + "G"}
+    return {n: code_of(s) for n, s in {"all_a": "A" * k, "all_t": "T" * k, "all_c": "C" * k, "a_then_g": "A" * (k - 1) + "G"}.items()}
 
 
 def special_counts(counts: DataFrame, k: int, group: str = "group") -> DataFrame:
     return counts.groupBy(group).agg(*[F.coalesce(F.sum(F.when(F.col("kmer") == s, F.col("cnt"))), F.lit(0)).cast("long").alias(n) for n, s in special_kmers(k).items()])
 
 
-def prefix_histogram(counts: DataFrame, bases: int = 4) -> DataFrame:
+def prefix_histogram(counts: DataFrame, k: int, bases: int = 4) -> DataFrame:
     """k-mers and occurrences by prefix."""
-    return counts.groupBy(F.substring("kmer", 1, bases).alias("prefix")).agg(F.count(F.lit(1)).alias("n_kmers"), F.sum("cnt").cast("long").alias("n_total"))
+    sums = counts.groupBy(F.shiftright("kmer", 2 * (k - bases)).alias("prefix")).agg(F.count(F.lit(1)).alias("n_kmers"), F.sum("cnt").cast("long").alias("n_total"))
+    return sums.withColumn("prefix", kmer_text(F.col("prefix"), bases))
 
 
 def union(databases: list[DataFrame], group: str = "group") -> DataFrame:
@@ -79,8 +88,11 @@ def subtract(a: DataFrame, b: DataFrame, group: str = "group") -> DataFrame:
 
 
 def write(db: DataFrame, path: str, group: str = "group", mode: str = "error") -> None:
-    """Parquet by group, sorted by k-mer within files, so that a reader of one group opens only its folder and k-mer ranges prune row groups."""
-    db.repartition(group, F.substring(F.col("kmer").cast("string"), 1, 4)).sortWithinPartitions(group, "kmer").write.mode(mode).partitionBy(group).parquet(path)
+    """Parquet by group, each file a range of k-mers in order, so that a reader of one group opens only its folder and k-mer ranges prune files.
+
+    Ranges are cut by sampled quantiles: a group that holds most of the k-mers, or a frequent prefix, is spread over many tasks.
+    """
+    db.repartitionByRange(group, "kmer").sortWithinPartitions(group, "kmer").write.mode(mode).partitionBy(group).parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import assign as A
 from ..operators import kmerdb
 from ..operators import score as S
 from ..sources import sinks
-from .pipeline import Settings, classify_children
+from .pipeline import Settings, classify, classify_children
 from .registry import query, spread, t
 
 K, MC = 12, 0.05
@@ -59,17 +59,17 @@ def counts_sql(k: int) -> str:
 
 @query(f"WITH {counts_sql(8)} SELECT grp AS \"group\", kmer, cnt FROM counts")
 def kmer_count(spark, d):
-    return kmerdb.count_kmers(refs(spark, d), 8)
+    return kmerdb.written_out(kmerdb.count_kmers(refs(spark, d), 8), 8)
 
 
 @query(f"WITH {counts_sql(8)} SELECT grp AS \"group\", kmer, CAST(least(cnt, 255) AS INTEGER) AS cnt FROM counts")
 def kmer_count_capped255(spark, d):
-    return kmerdb.build(refs(spark, d), 8)
+    return kmerdb.written_out(kmerdb.build(refs(spark, d), 8), 8)
 
 
 @query(f"WITH {counts_sql(8)} SELECT grp AS \"group\", kmer, CAST(least(cnt, 255) AS INTEGER) AS cnt FROM counts WHERE cnt >= 3")
 def kmer_count_min3(spark, d):
-    return kmerdb.build(refs(spark, d), 8, min_count=3)
+    return kmerdb.written_out(kmerdb.build(refs(spark, d), 8, min_count=3), 8)
 
 
 _CODE = " + ".join(f"(position(substr(kmer, {i + 1}, 1) IN 'ACGT') - 1) * {4 ** (9 - i)}" for i in range(10))
@@ -77,7 +77,7 @@ _CODE = " + ".join(f"(position(substr(kmer, {i + 1}, 1) IN 'ACGT') - 1) * {4 **
 
 @query(f"WITH {counts_sql(10)} SELECT grp AS \"group\", CAST({_CODE} AS BIGINT) AS kmer, CAST(least(cnt, 255) AS INTEGER) AS cnt FROM counts")
 def kmer_encode_bigint(spark, d):
-    return kmerdb.build(refs(spark, d), 10, packed=True)
+    return kmerdb.build(refs(spark, d), 10)
 
 
 @query(f"WITH {counts_sql(24)} SELECT grp AS \"group\", CAST(sum(cnt) AS BIGINT) AS n_total, count(*) AS n_unique, count(*) FILTER (cnt = 1) AS n_singletons, count(*) FILTER (cnt > 1) AS n_repeated FROM counts GROUP BY ALL")
@@ -98,28 +98,27 @@ def special_kmer_counts(spark, d):
 @query(f"WITH {counts_sql(10)}, d AS (SELECT kmer, sum(cnt) AS cnt FROM counts GROUP BY ALL) SELECT substr(kmer, 1, 4) AS prefix, count(*) AS n_kmers, CAST(sum(cnt) AS BIGINT) AS n_total FROM d GROUP BY ALL")
 def prefix_bin_histogram(spark, d):
     counts = kmerdb.count_kmers(refs(spark, d), 10)
-    return kmerdb.prefix_histogram(counts.groupBy("kmer").agg(F.sum("cnt").alias("cnt")))
+    return kmerdb.prefix_histogram(counts.groupBy("kmer").agg(F.sum("cnt").alias("cnt")), 10)
 
 
 @query(f"WITH {counts_sql(8)}, c AS (SELECT grp, kmer, least(cnt, 255) AS cnt FROM counts) SELECT a.kmer, CAST(least(a.cnt, b.cnt) AS INTEGER) AS cnt FROM c a JOIN c b USING (kmer) WHERE a.grp = 'de' AND b.grp = 'fr'")
 def kmer_db_intersect(spark, d):
     db = kmerdb.build(refs(spark, d).filter("group in ('de', 'fr')"), 8)
     one = lambda g: db.filter(F.col("group") == g).withColumn("group", F.lit("both"))
-    return kmerdb.intersect(one("de"), one("fr")).drop("group")
+    return kmerdb.written_out(kmerdb.intersect(one("de"), one("fr")).drop("group"), 8)
 
 
-@query(f"WITH {counts_sql(8)}, c AS (SELECT grp, kmer, least(cnt, 255) AS cnt FROM counts) SELECT kmer, CAST(cnt AS INTEGER) AS cnt FROM c WHERE grp = 'en' AND kmer NOT IN (SELECT kmer FROM c WHERE grp <> 'en')")
+@query(f"WITH {counts_sql(8)}, c AS (SELECT grp, kmer, least(cnt, 255) AS cnt FROM counts) SELECT kmer, CAST(cnt AS INTEGER) AS cnt FROM (SELECT * FROM c WHERE grp = 'en') ANTI JOIN (SELECT kmer FROM c WHERE grp <> 'en') USING (kmer)")
 def kmer_db_subtract(spark, d):
     db = kmerdb.build(refs(spark, d), 8)
-    rest = db.filter("group <> 'en'").select(F.lit("en").alias("group"), "kmer").distinct()
-    return kmerdb.subtract(db.filter("group = 'en'"), rest).drop("group")
+    rest = db.filter("group <> 'en'").select(F.lit("en").alias("group"), "kmer")
+    return kmerdb.written_out(kmerdb.subtract(db.filter("group = 'en'"), rest).drop("group"), 8)
 
 
 @query(f"WITH {counts_sql(8)} SELECT kmer, CAST(least(sum(least(cnt, 255)), 255) AS INTEGER) AS cnt FROM counts GROUP BY kmer")
 def kmer_db_union(spark, d):
     db = kmerdb.build(refs(spark, d), 8)
-    groups = [r["group"] for r in db.select("group").distinct().collect()]
-    return kmerdb.union([db.filter(F.col("group") == g).withColumn("group", F.lit("all")) for g in groups]).drop("group")
+    return kmerdb.written_out(kmerdb.union([db.withColumn("group", F.lit("all"))]).drop("group"), 8)
 
 
 _N_REFS = f"refs AS (SELECT doc_id, lang AS grp, {DNA_N} AS seq FROM documents)"
@@ -133,7 +132,7 @@ def refs_n(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_N_REFS}, {kmers_sql(12)}, a AS (SELECT grp, sum(greatest(length(seq) - 11, 0)) AS n FROM refs GROUP BY ALL), v AS (SELECT grp, count(*) AS n FROM kmers GROUP BY ALL) SELECT grp AS \"group\", CAST(a.n AS BIGINT) AS n_places, v.n AS n_valid FROM a JOIN v USING (grp)")
 def kmer_valid_only(spark, d):
     kmers = dna.explode_kmers(refs_n(spark, d).select("group", "seq"), 12, valid_only=False)
-    return kmers.groupBy("group").agg(F.count(F.lit(1)).alias("n_places"), F.sum(dna.is_valid(F.col("kmer")).cast("long")).alias("n_valid"))
+    return kmers.groupBy("group").agg(F.count(F.lit(1)).alias("n_places"), F.sum(F.col("valid").cast("long")).alias("n_valid"))
 
 
 _SEGMENTS = f"{_N_REFS}, s AS (SELECT doc_id, grp, list_filter(regexp_split_to_array(seq, 'N+'), lambda x: x <> '') AS l FROM refs), segs AS (SELECT doc_id, grp, unnest(range(0, len(l))) AS seg_no, unnest(l) AS segment FROM s)"
@@ -172,7 +171,7 @@ def multi_file_union(spark, d):
 
 def database(spark: SparkSession, d: str, k: int, own: DataFrame, strands: bool = True) -> DataFrame:
     """The part of the reference database that the reads can hit."""
-    kmers = S.read_kmers(S.both_strands(own) if strands else own.withColumn("len", F.length("seq")), k)
+    kmers = S.read_kmers(S.both_strands(own) if strands else own, k)
     return kmerdb.members(refs(spark, d), k, kmers)
 
 
@@ -224,8 +223,9 @@ def compared(spark: SparkSession, d: str) -> DataFrame:
     return S.choose_strand(scored(spark, d), MC)
 
 
-def candidates(spark: SparkSession, d: str, similarity: int = 100, mismatches: bool = True) -> DataFrame:
-    return A.candidates(compared(spark, d), similarity, mismatches)
+def candidates(spark: SparkSession, d: str, similarity: int = 100, mismatches: bool = True, k: int = K, cutoff: int = 5) -> DataFrame:
+    own = reads(spark, d)
+    return classify(own, database(spark, d, k, own), Settings(k=k, cutoff=cutoff, mismatches=mismatches, similarity=similarity), groups(spark, d))
 
 
 _READ_KMERS = f"{READS}, rk AS (SELECT read_key, pos, substr(seq, pos + 1, {K}) AS kmer FROM (SELECT *, CAST(unnest(range(0, greatest(length(seq) - {K - 1}, 0))) AS INTEGER) AS pos FROM reads))"
@@ -244,7 +244,7 @@ def kmer_membership_semi(spark, d):
 @query(f"WITH {REFS}, {_READ_KMERS}, {kmers_sql(K)} SELECT read_key, pos, kmer FROM rk ANTI JOIN kmers USING (kmer)")
 def kmer_missing_anti(spark, d):
     own = forward_kmers(spark, d)
-    return own.join(kmerdb.members(refs(spark, d), K, own).select("kmer").distinct(), "kmer", "left_anti").select("read_key", "pos", "kmer")
+    return own.join(kmerdb.members(refs(spark, d), K, own).select("kmer").distinct(), "kmer", "left_anti").select("read_key", "pos", dna.kmer_text(F.col("kmer"), K).alias("kmer"))
 
 
 @query(f"WITH {scores_sql(K, MC, K)} SELECT read_key, strand, grp AS \"group\" FROM probed")
@@ -302,17 +302,23 @@ def match_mismatch_split(spark, d):
     return compared(spark, d).select("read_key", "group", F.when(F.col("label") == S.MISMATCH, "MM").otherwise("M").alias("side"), "match", "min_err")
 
 
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    own = reads(spark, d)
+    rows = S.compare_hits(own, database(spark, d, K, own), K, MC)
+    return S.alignment_counts_of_hits(rows, groups(spark, d), own.agg(F.countDistinct("read_key")).scalar())
+
+
 _COUNTS = "count(*) FILTER (label = 'M_ORG') AS aligned_fwd, count(*) FILTER (label = 'M_COMP') AS aligned_rev, count(*) FILTER (label = 'MM') AS not_aligned"
 
 
 @query(f"WITH {rows_sql(K, MC, K)} SELECT grp AS \"group\", {_COUNTS} FROM rows GROUP BY ALL")
 def alignment_counts(spark, d):
-    return S.alignment_counts(compared(spark, d))
+    return aligned(spark, d)
 
 
 @query(f"WITH {rows_sql(K, MC, K)} SELECT grp AS \"group\", {_COUNTS}, {K} AS k, 5 AS cutoff FROM rows GROUP BY ALL")
 def class_metrics(spark, d):
-    return S.alignment_counts(compared(spark, d)).withColumn("k", F.lit(K)).withColumn("cutoff", F.lit(5))
+    return aligned(spark, d).withColumn("k", F.lit(K)).withColumn("cutoff", F.lit(5))
 
 
 # --- assigning ------------------------------------------------------------------------------------------------
@@ -342,8 +348,7 @@ def best_group_sim90(spark, d):
 
 @query(f"WITH {kept_sql(100, "label <> 'MM'", K, 0.9)} {_ASSIGNED} kept WHERE best > 0")
 def match_only_assign(spark, d):
-    rows = S.choose_strand(scored(spark, d, mc=0.9), 0.9)
-    return A.assign(A.candidates(rows, 100, False), A.ALL)
+    return A.assign(candidates(spark, d, mismatches=False, cutoff=90), A.ALL)
 
 
 @query(f"WITH {rows_sql(K, MC, K)} SELECT read_key, grp AS \"group\", match, min_err, CAST(row_number() OVER (PARTITION BY read_key ORDER BY match DESC, min_err, grp) AS INTEGER) AS place FROM rows")
@@ -353,7 +358,7 @@ def group_ranking(spark, d):
 
 @query(f"WITH {kept_sql(100, 'true', 24)} SELECT DISTINCT read_key FROM kept WHERE best = 0")
 def unclassified_reads(spark, d):
-    return A.unclassified(A.candidates(S.choose_strand(scored(spark, d, k=24), MC)))
+    return A.unclassified(candidates(spark, d, k=24))
 
 
 @query(f"WITH {kept_sql(60)} SELECT read_key, grp AS \"group\", match, min_err, n_groups FROM kept WHERE best > 0 AND n_groups > 1")
@@ -401,9 +406,10 @@ _HIER = f"""WITH a AS (WITH {kept_sql()} SELECT read_key, grp AS parent FROM kep
 @query(_HIER)
 def hier_level2_assign(spark, d):
     own = reads(spark, d)
-    assigned = A.assign(candidates(spark, d)).select("read_key", F.col("group").alias("parent"))
-    kmers = S.read_kmers(S.both_strands(own), K)
-    db = kmerdb.members(refs(spark, d).withColumnRenamed("group", "parent").withColumnRenamed("source", "group"), K, kmers, ["parent", "group"])
+    # One database for both ranks: the parents' is the children's without their names.
+    db = kmerdb.members(refs(spark, d).withColumnRenamed("group", "parent").withColumnRenamed("source", "group"), K, S.read_kmers(S.both_strands(own), K), ["parent", "group"])
+    upper = db.select(F.col("parent").alias("group"), "kmer").distinct()
+    assigned = A.assign(classify(own, upper, Settings(k=K), groups(spark, d))).select("read_key", F.col("group").alias("parent"))
     tree = t(spark, d, "documents").select(F.col("lang").alias("parent"), F.col("source").alias("group")).distinct()
     kept = classify_children(assigned, own, db, Settings(k=K), tree)
     return kept.select("read_key", "parent", "group", "match", "min_err", "label", "n_groups")

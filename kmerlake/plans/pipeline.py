@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import headers as H
 from ..operators import assign as A
 from ..operators import kmerdb
-from ..operators.score import both_strands, choose_strand, compare, fold, is_probe, read_kmers, stops
+from ..operators.score import compare, compare_hits, errors_without_hits, label_without_hits
 from ..operators.taxonomy import UNDEF, at_rank, group_name, lineage
 
 
@@ -60,60 +61,64 @@ def divide(seqs: DataFrame, nodes: DataFrame, names: DataFrame, upper: str, lowe
     return found.select(*seqs.columns, "tax_id", named.alias("group"))
 
 
+def _lengths(reads: DataFrame) -> DataFrame:
+    return reads.groupBy("read_key").agg(F.max(F.length("seq")).alias("len"))
+
+
 def classify(reads: DataFrame, db: DataFrame, settings: Settings, groups: DataFrame | None = None) -> DataFrame:
-    """Candidate rows of reads (read_key, seq) against a database (group, kmer)."""
-    rows = compare(reads, db, db.select("group").distinct() if groups is None else groups, settings.k, settings.mc, settings.step)
-    return A.candidates(rows, settings.similarity, settings.mismatches)
+    """Candidate rows of reads (read_key, seq) against a database (group, kmer). A read without a match has one row, with group null.
+
+    Rows come from hits alone. Only a similarity so small that rows without a match pass needs a row for every read and group.
+    """
+    groups = (db if groups is None else groups).select("group").distinct()
+    if settings.similarity * settings.k < 100:
+        return A.candidates(compare(reads, db, groups, settings.k, settings.mc, settings.step), settings.similarity, settings.mismatches)
+    rows = compare_hits(reads, db, settings.k, settings.mc, settings.step)
+    return A.candidates_of_hits(rows, _lengths(reads), groups.agg(F.count(F.lit(1))).scalar(), settings.k, settings.similarity, settings.mismatches, settings.mc)
 
 
 def classify_children(assigned: DataFrame, reads: DataFrame, db: DataFrame, settings: Settings, tree: DataFrame | None = None) -> DataFrame:
     """Reads of a parent group against that parent's children only. assigned: read_key, parent; db: parent, group, kmer; tree: parent, group, if known.
 
-    Read and group come together with the parent in both join keys, so a read's k-mers only meet k-mers of its parent.
+    The parent is part of the join key, so a read's k-mers only meet k-mers of its parent. A read that matches none of the
+    children has a row with match 0 for each of them; other reads have rows of hits only.
     """
+    if settings.similarity * settings.k < 100:
+        raise ValueError("a similarity that rows without a match pass is for flat comparisons")
     own = reads.join(assigned.select("read_key", "parent"), "read_key")
-    keyed = own.select(F.struct("read_key", "parent").alias("read_key"), "seq")
-    tree = db.select("parent", "group").distinct() if tree is None else tree
-    pairs = own.select("read_key", "parent").join(tree, "parent")
-    scored = score_pairs(keyed, db, settings)
-    everything = pairs.crossJoin(_strands(reads.sparkSession)).join(own.select("read_key", F.length("seq").alias("len")).distinct(), "read_key")
-    # A read without hits is one gap from end to end, unless the quick pass leaves it out.
-    places = F.greatest(F.col("len") - settings.k + 1, F.lit(0))
-    none = F.lit(0) if (settings.step or settings.k) > 1 else F.when((places > 0) & ~stops(F.lit(0), F.lit(0), settings.k, F.col("len"), settings.mc), F.ceil(places / settings.k)).otherwise(0)
-    full = everything.join(scored, ["read_key", "parent", "group", "strand"], "left").select("read_key", "parent", "group", "strand", "len", F.coalesce("match", F.lit(0)).alias("match"), F.coalesce(F.col("min_err"), none).cast("int").alias("min_err"))
-    rows = choose_strand(full.withColumn("group", F.struct("parent", "group")), settings.mc)
-    rows = rows.select("read_key", F.col("group.parent").alias("parent"), F.col("group.group").alias("group"), "len", "match", "min_err", "label")
-    return A.candidates(rows, settings.similarity, settings.mismatches)
-
-
-def _strands(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"))
-
-
-def score_pairs(keyed: DataFrame, db: DataFrame, settings: Settings) -> DataFrame:
-    """Scores of read strands with a hit in a child group: read_key, parent, group, strand, match, min_err."""
-    step = settings.step or settings.k
-    kmers = read_kmers(both_strands(keyed), settings.k).withColumn("parent", F.col("read_key.parent")).withColumn("read_key", F.col("read_key.read_key"))
-    found = kmers.join(db.select("parent", "group", "kmer"), ["parent", "kmer"]).drop("kmer")
-    by = ["read_key", "parent", "group", "strand"]
-    folded = found.groupBy(*by).agg(F.max("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("places"), F.max(is_probe(settings.k, step)).alias("probed"))
-    return folded.filter("probed" if step > 1 else "true").select(*by, fold(F.col("places"), settings.k, F.col("len"), settings.mc).alias("x")).select(*by, "x.match", "x.min_err")
+    tree = (db if tree is None else tree).select("parent", "group").distinct()
+    rows = compare_hits(own, db, settings.k, settings.mc, settings.step, "read_key", ["parent", "group"], ["parent"])
+    rows = rows.select("read_key", F.struct("parent", "group").alias("group"), "len", "match", "min_err", "label")
+    kept = A.candidates_of_hits(rows, _lengths(own), F.lit(0), settings.k, settings.similarity, settings.mismatches, settings.mc)
+    lost = kept.filter("group is null").select("read_key").join(own.select("read_key", "parent", F.length("seq").alias("len")).distinct(), "read_key").join(tree, "parent")
+    # As many as the read's parents have children.
+    n = F.count(F.lit(1)).over(Window.partitionBy("read_key"))
+    lost = lost.select("read_key", "parent", "group", "len", F.lit(0).alias("match"), errors_without_hits(F.col("len"), settings.k, settings.mc, settings.step).alias("min_err"), label_without_hits(F.col("len"), settings.mc).alias("label"), F.lit(0).alias("best"), n.alias("n_groups"))
+    found = kept.filter("group is not null").select("read_key", "group.parent", "group.group", "len", "match", "min_err", "label", "best", "n_groups")
+    return found.unionAll(lost)
+
+
+def undef_of(parent: Column) -> Column:
+    """The group of a parent's sequences without a taxon: it carries the parent's name, so that different parents' don't mix further down."""
+    return F.when(parent == ROOT, UNDEF).when(parent.startswith(f"{UNDEF}_idPREV"), parent).otherwise(F.concat(F.lit(f"{UNDEF}_idPREV"), parent))
 
 
 def run(spark: SparkSession, seqs: DataFrame, reads: DataFrame, ranks: list[str], path: str, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Down the ranks. seqs: seq and a column per rank with the group's name there; reads: read_key, seq.
 
     At each rank the reads of a group are compared with that group's children only. Databases, score rows and
-    assignments are tables under path, by settings; a rank's sequences without a taxon are the group undef.
+    assignments are tables under path, by settings; a parent's sequences without a taxon are one group, see undef_of().
     """
     out: dict[str, DataFrame] = {}
     before: str | None = None
+    seqs = seqs.withColumn("_group", F.lit(ROOT))
     for rank in ranks:
         at = f"{path}/{rank}"
-        named = seqs.select(F.coalesce(F.col(before), F.lit(UNDEF)).alias("parent") if before else F.lit(ROOT).alias("parent"), F.coalesce(F.col(rank), F.lit(UNDEF)).alias("group"), "seq")
+        seqs = seqs.withColumn("_parent", F.col("_group")).withColumn("_group", F.coalesce(F.col(rank), undef_of(F.col("_parent"))))
+        named = seqs.select(F.col("_parent").alias("parent"), F.col("_group").alias("group"), "seq")
         db = stage(spark, f"{at}/db_k{settings.k}", lambda named=named: kmerdb.build(named, settings.k, ["parent", "group"]), "parent")
-        assigned = out[before].select("read_key", F.col("group").alias("parent")) if before else reads.select("read_key", F.lit(ROOT).alias("parent"))
-        kept = stage(spark, f"{at}/rows_{settings.tag()}", lambda assigned=assigned, db=db: classify_children(assigned, reads, db, settings))
+        above = out[before].select("read_key", F.col("group").alias("parent")) if before else None
+        kept = stage(spark, f"{at}/rows_{settings.tag()}", lambda above=above, db=db: classify(reads, db, settings) if above is None else classify_children(above, reads, db, settings))
         out[rank] = stage(spark, f"{at}/assigned_{settings.tag()}", lambda kept=kept: A.assign(kept, settings.policy))
         before = rank
     return out

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from kmerlake.functions import dna
 from kmerlake.operators import assign, kmerdb, score
+from kmerlake.plans import pipeline
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -118,18 +120,57 @@ def test_lower_case_and_other_signs(spark):
 def test_counts_saturate_and_code_round_trip(spark):
     df = spark.createDataFrame([("g", "A" * 400 + "C")], "group string, seq string")
     got = {r["kmer"]: r["cnt"] for r in kmerdb.build(df, 12).collect()}
-    assert got == {"A" * 12: 255, "A" * 11 + "C": 1}
-    packed = kmerdb.build(df, 12, packed=True).select(dna.kmer_text(F.col("kmer"), 12).alias("kmer"), "cnt")
-    assert {r["kmer"]: r["cnt"] for r in packed.collect()} == got
+    assert got == {0: 255, 1: 1}
+    assert {r["kmer"]: r["cnt"] for r in kmerdb.written_out(kmerdb.build(df, 12), 12).collect()} == {"A" * 12: 255, "A" * 11 + "C": 1}
     assert spark.range(1).select(dna.kmer_code(F.lit("T" * 31))).first()[0] == 4**31 - 1
 
 
-def test_tiles_give_each_place_once(spark):
-    rng = random.Random(1)
-    s = "".join(rng.choice("ACGT") for _ in range(1500))
-    df = spark.createDataFrame([(n, s[:n]) for n in (0, 11, 12, 256, 267, 268, 1500)], "n int, seq string")
-    got = sorted((r["n"], r["pos"], r["kmer"]) for r in dna.explode_kmers(df, 12).collect())
-    assert got == sorted((n, p, s[p : p + 12]) for n in (0, 11, 12, 256, 267, 268, 1500) for p in range(n - 11))
+@pytest.mark.parametrize("k,alphabet", [(8, "ACGT"), (12, "ACGTTGCANA"), (30, "ACGT"), (31, "ACGTACGTACGTCCN")])
+def test_tiles_give_each_place_once(spark, k, alphabet):
+    rng = random.Random(k)
+    seqs = {n: "".join(rng.choice(alphabet) for _ in range(n)) for n in (0, k - 1, k, 30, 32, 61, 62, 63, 93, 94, 500)}
+    df = spark.createDataFrame(list(seqs.items()), "n int, seq string")
+    got = sorted((r["n"], r["pos"], r["kmer"], r["next_valid"]) for r in dna.explode_kmers(df, k).withColumn("kmer", dna.kmer_text(F.col("kmer"), k)).collect())
+    assert got == sorted((n, p, s[p : p + k], p + k < n and s[p + k] != "N") for n, s in seqs.items() for p in range(n - k + 1) if "N" not in s[p : p + k])
+    places = dna.explode_kmers(df, k, valid_only=False)
+    assert (places.count(), places.filter("valid").count()) == (sum(max(0, n - k + 1) for n in seqs), len(got))
+
+
+def test_long_sequences_take_linear_time(spark, tmp_path):
+    took = {}
+    for n in (100_000, 500_000, 2_000_000):  # the first one compiles
+        spark.range(1).select(F.repeat(F.lit("ACGTTGCATG"), n // 10).alias("seq")).write.parquet(f"{tmp_path}/{n}")
+        began = time.time()
+        assert dna.explode_kmers(spark.read.parquet(f"{tmp_path}/{n}"), 24).agg(F.count(F.lit(1)), F.max("kmer")).first()[0] == n - 23
+        took[n] = time.time() - began
+    assert took[2_000_000] < 8 * took[500_000]  # four times the length
+
+
+@pytest.mark.parametrize("mismatches", [True, False])
+@pytest.mark.parametrize("k,cutoff,step,similarity", [(8, 5, 0, 100), (8, 90, 1, 60), (12, 30, 1, 80), (8, 0, 1, 100)])
+def test_rows_of_hits_assign_like_all_rows(spark, k, cutoff, step, similarity, mismatches):
+    rng = random.Random(k + cutoff)
+    refs, reads = random_case(rng, k)
+    refs["none"] = "T" * 40
+    df = spark.createDataFrame(list(reads.items()), "read_key long, seq string")
+    db = kmerdb.build(spark.createDataFrame(list(refs.items()), "group string, seq string"), k)
+    groups = spark.createDataFrame([(g,) for g in refs], "group string")
+    settings = pipeline.Settings(k=k, cutoff=cutoff, step=step, similarity=similarity, mismatches=mismatches)
+    dense = assign.candidates(score.compare(df, db, groups, k, cutoff / 100, step), similarity, mismatches)
+    sparse = pipeline.classify(df, db, settings, groups)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    for f in (lambda x: assign.assign(x, assign.ALL), assign.assign, assign.unclassified, assign.multiclass, assign.tie_histogram):
+        assert rows(f(sparse)) == rows(f(dense))
+    if cutoff:
+        n = df.agg(F.count(F.lit(1))).scalar()
+        assert rows(score.alignment_counts_of_hits(score.compare_hits(df, db, k, cutoff / 100, step), groups, n)) == rows(score.alignment_counts(score.compare(df, db, groups, k, cutoff / 100, step)))
+
+
+def test_assignment_has_no_cross_join(spark):
+    df = spark.createDataFrame([(1, REF)], "read_key long, seq string")
+    db = kmerdb.build(spark.createDataFrame([("g", REF)], "group string, seq string"), 8)
+    plan = pipeline.classify(df, db, pipeline.Settings(k=8))._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_k_out_of_range(spark):
