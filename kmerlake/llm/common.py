@@ -1,16 +1,16 @@
-"""What the operators share: table access, the shared folder, staged tables."""
+"""What the operators share: table access, Arrow batches, small tables. Staged tables are those of kmerlake.shared."""
 
 from __future__ import annotations
 
 import json
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import drop_staged, fresh_path, shared_dir, staged, staged_so_far  # noqa: F401  for the operators
+
 #: A word is a longest run of bytes other than these six ASCII characters; the contracts fix it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,40 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or, where it is unset, one made for this session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="kmerlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Tables that staged() wrote and drop_staged() hasn't removed.
-_STAGED: list[str] = []
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, and outlives any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _STAGED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> int:
-    """Removes the staged tables of this process, once the results that read them are written elsewhere. Their number."""
-    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_STAGED)
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return n
-
-
 #: Where this package lies.
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -83,11 +49,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows that a plan may hold as a literal.
+LITERAL_ROWS = 1000
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Driver-side rows as a table, made in the JVM from one literal."""
+    """Driver-side rows as a table: made in the JVM from one literal, or, if they are more than LITERAL_ROWS, from a file in the shared folder."""
     names = [c.split()[0] for c in schema.split(",")]
-    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in schema.split(','))}>>")))
+    lines = [json.dumps(dict(zip(names, r, strict=True))) for r in rows]
+    if len(rows) > LITERAL_ROWS:
+        path = fresh_path(spark, "small-table")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write("\n".join(lines).encode())
+        finally:
+            out.close()
+        return spark.read.schema(schema).json(path)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(f"[{','.join(lines)}]"), f"array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in schema.split(','))}>>")))
 
 
 def hash_unit(*keys: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ DIRECT, POOLED = 0x250, 4096
 SLOTS = DIRECT + POOLED
 #: A piece of text that is turned into numbers at once; longer texts are taken piece by piece.
 PIECE = 1 << 20
+#: Trigrams whose vectors are held at once.
+SLICE = 4096
 
 
 @cache
@@ -66,12 +69,17 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 def bundle(text: str | None) -> np.ndarray | None:
     """The text's vector, or None if it has no letter."""
     codes, n = trigrams(text or "")
-    return n.astype(np.float32) @ trigram_vectors(codes).astype(np.float32) if codes.size and codes.any() else None
+    if not codes.any():
+        return None
+    total = np.zeros(DIMS)
+    for i in range(0, len(codes), SLICE):
+        total += n[i : i + SLICE].astype(np.float32) @ trigram_vectors(codes[i : i + SLICE]).astype(np.float32)
+    return total.astype(np.float32)
 
 
 def in_training(key: Column) -> Column:
-    """Four fifths of the documents, by their key."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 != 0
+    """Four fifths of the documents, by their key. A document without a key isn't learned from."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_langs: int = 2000) -> dict[str, np.ndarray]:
@@ -131,9 +139,18 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return rows.transform(arrow, part, schema).toDF(*keep, "lang_pred", "score")
 
 
-def accept(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows, with their own columns, whose language is known and whose score is above min_score."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"))
-    found = predict(packed, prototypes, "text", ["row"]).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > min_score))
-    return found.select(*[F.col("row").getField(c).alias(c) for c in names])
+def noise_bound(n_langs: int, chance: float = 0.01) -> float:
+    """The score that a text unrelated to all of n_langs prototypes passes with that chance: each of its cosines is normal with spread 1 / sqrt(DIMS)."""
+    return NormalDist(0, DIMS**-0.5).inv_cdf((1 - chance) ** (1 / max(1, n_langs)))
+
+
+def judged(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float | None = None, text: str = "text") -> DataFrame:
+    """row (the columns of docs), lang_pred, score, accepted: whether the language is known and the score above min_score, by default the noise bound."""
+    least = noise_bound(len(prototypes)) if min_score is None else min_score
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return predict(packed, prototypes, "text", ["row"]).withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") > least))
+
+
+def accept(docs: DataFrame, prototypes: dict[str, np.ndarray], min_score: float | None = None, text: str = "text") -> DataFrame:
+    """The accepted rows of judged(), with their own columns."""
+    return judged(docs, prototypes, min_score, text).filter("accepted").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,6 +8,8 @@ gradient and curvature are sums over documents, which each Newton step takes fro
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,8 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, max_sources: int = 100_000, steps: int = 60):
+        if cap != int(cap) or cap < 1:
+            raise ValueError("the cap is a number of whole copies")
         self.spark, self.text, self.source, self.key, self.cap = docs.sparkSession, text, source, key, cap
         self.sizes = staged(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sizes")
         self.by_size = staged(self.sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "by-size")
@@ -67,6 +71,8 @@ class Mix:
         self.words = {r["source"]: int(r["words"] or 0) for r in totals}
         self.target = targets(list(self.words.items()), weights, share, cap)
         self.state = {s: {"target": float(t), "mode": FULL if t >= cap * self.words[s] else FLAT if t > 0 else NONE, "lam": 0.0, "unit": 1.0, "theta": 0.0, "extra": []} for s, t in self.target.items()}
+        #: Sources whose dual wasn't solved in so many steps. Rounding still fills their targets, by rates off the optimum.
+        self.unsolved: list[str | None] = []
         for r in totals:
             self.state[r["source"]]["unit"] = float(max(1, r["longest"] or 0))
         self._newton(steps)
@@ -104,6 +110,9 @@ class Mix:
                     v["lam"] = (low + high) / 2
                 else:
                     v["lam"] = lam * 2 + (1.0 if gap < 0 else -1.0)
+        self.unsolved = list(bracket)
+        if bracket:
+            warnings.warn(f"the dual of {len(bracket)} sources isn't solved after {steps} steps", stacklevel=3)
 
     def _key(self) -> Column:
         """From its source's theta on, a document gets the copy that its rate has a fraction of. Order: by chance, weighted by that fraction."""

@@ -83,6 +83,8 @@ _AT = re.compile(r" at |[\[(] ?at ?[\])]", re.IGNORECASE | re.ASCII)
 _WORDS = {"email": ("mail", "contact", "write", "reach"), "ip": ("ip", "host", "server", "address", "login"), "card": ("card", "visa", "credit", "pay", "amex"), "phone": ("phone", "tel", "call", "mobile", "fax", "cell")}
 _OTHER = ("order", "isbn", "version", "invoice", "part", "ref", "no.", "#", "sku", "total", "dated", "page", "serial")
 NEAR = 24
+#: Candidates that are weighed at once.
+AT_ONCE = 4096
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -212,13 +214,20 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], list[tuple[str, int, in
     """Base spans by kind, and all spans: base ones and, by kind from the best down, selected ones that touch no span yet taken."""
     base = base_spans(text)
     spans = [(k, a, b) for k in KINDS for a, b in base[k]]
-    proposed = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in spans)]
+    proposed = candidates(text)
+    if proposed:
+        # A mark for every place that a span takes, so that a look costs a span's own length, whatever their number.
+        taken = bytearray(len(text))
+        for _, a, b in spans:
+            taken[a:b] = b"\1" * (b - a)
+        proposed = [c for c in proposed if taken.find(1, c[1], c[2]) < 0]
     if proposed:
         trees, limits = model()
-        scores = trees.predict(np.array([features(text, *c) for c in proposed]))
+        scores = np.concatenate([trees.predict(np.array([features(text, *c) for c in proposed[i : i + AT_ONCE]])) for i in range(0, len(proposed), AT_ONCE)])
         for s, c in sorted(zip(scores, proposed, strict=True), key=lambda x: (-x[0], x[1][1], KINDS.index(x[1][0]))):
-            if s >= limits[c[0]] and not any(a < c[2] and c[1] < b for _, a, b in spans):
+            if s >= limits[c[0]] and taken.find(1, c[1], c[2]) < 0:
                 spans.append(c)
+                taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
     return base, sorted(spans, key=lambda c: (c[1], KINDS.index(c[0])))
 
 

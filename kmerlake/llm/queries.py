@@ -70,8 +70,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = DigestIndex.at(spark).add(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    # Two batches into one index, that of the greater keys first: the row that stays is then the one that the index has.
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    first = F.coalesce(F.col("doc_id") > F.lit(None if low is None else (low + high) // 2).cast("long"), F.lit(False))
+    index = DigestIndex.at(spark)
+    out = index.labels([index.append(docs.filter(first), batch="greater keys"), index.append(docs.filter(~first), batch="smaller keys")])
+    index.drop()
+    return out.withColumnRenamed("key", "doc_id").select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

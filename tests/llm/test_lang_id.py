@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kmerlake.llm import lang_id as L
 from tests.llm.data import edge_rows, frame
@@ -82,3 +84,22 @@ def test_accept_keeps_columns(spark):
     out = L.accept(df, L.fit(df))
     assert out.columns == df.columns
     assert {r["doc_id"] for r in out.collect()} >= set(range(40)) and not {r["doc_id"] for r in out.collect()} & {1001, 1002, 1003}
+
+
+def test_memory_does_not_grow_with_distinct_trigrams():
+    """A text of 300,000 letters that hardly repeat a trigram."""
+    letters = np.random.default_rng(1).integers(0x4E00, 0x9FFF, 300_000)
+    text = "".join(map(chr, letters))
+    L.bundle("warm up")
+    tracemalloc.start()
+    v = L.bundle(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    codes, n = L.trigrams(text)
+    part = sum(n[i : i + 999] @ L.trigram_vectors(codes[i : i + 999]).astype(np.int64) for i in range(0, len(codes), 999))
+    assert most < 100 << 20 and len(codes) > 250_000 and np.array_equal(v, part.astype(np.float32))
+
+
+def test_documents_without_a_key_are_held_out(spark):
+    got = spark.createDataFrame([(None,), (1,)], "doc_id long").select(L.in_training(F.col("doc_id")).alias("t")).collect()
+    assert got[0]["t"] is False
