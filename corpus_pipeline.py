@@ -15,19 +15,19 @@ from kmerlake.llm.common import staged, table
 from kmerlake.llm.exact_dedup import DigestIndex, drop_copies
 from kmerlake.llm.mixing import Mix
 
-#: In practice only texts that are und are rejected, those without a letter: with 512 dimensions an unrelated text has cosines of
-#: about +-0.044, of which the best of several is mostly above 0. A text in a language or script that no profile knows mostly passes.
-MIN_SCORE = 0.0
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with a letter, but for the few with no cosine above MIN_SCORE; profiles come from the documents outside the held-out fifth."""
-    return lang_id.accept(docs, lang_id.fit(docs.filter(lang_id.in_training(F.col("doc_id")))), MIN_SCORE)
+    """The documents that resemble a language: rejected are texts without a letter, and those whose best cosine is one that an unrelated
+    text reaches with a chance of 1 % or more (lang_id.noise_bound). Profiles come from the documents outside the held-out fifth."""
+    return lang_id.accept(docs, lang_id.fit(docs.filter(lang_id.in_training(F.col("doc_id")))))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, that with the largest doc_id."""
-    return drop_copies(docs, DigestIndex.at(spark))
+    index = DigestIndex.at(spark)
+    kept = drop_copies(docs, index)
+    index.drop()  # the labels are a table of their own
+    return kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
