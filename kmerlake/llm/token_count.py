@@ -6,8 +6,9 @@ Two deterministic transducers, the second fed by the first:
   a parallel prefix scan composes the maps, and a second sweep from the now known entry states emits.
 - Merger. Reads a piece's bytes. A state is what later merges can depend on: the longest text end that some
   token may go on from, with the last token and the token count at each place in it. A transition carries the
-  number of tokens (also a negative one) by which the count of what was read changes. States are compiled when
-  first met and kept while they fit.
+  number of tokens (also a negative one) by which the count of what was read changes. The splitter's scan tells where
+  pieces begin, so every piece starts from the same state: all distinct pieces of a group of texts run side by side, a byte
+  at a time, over arrays of transitions. States are compiled when first met and kept while they fit.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from .common import arrow
 LETTER, NUMBER, OTHER, SPACE, SPACE_END, WHITE, WHITE_END, SHORT, LONG, RESET = range(10)
 #: Splitter states: at the start; in letters, numbers, others; after a space, other white space; in a contraction of one or two letters; behind one.
 S_START, S_LETTER, S_NUMBER, S_OTHER, S_SPACE, S_WHITE, S_SHORT, S_LONG, S_LONG2, S_DONE = range(10)
-CHUNK, GROUP, KEEP = 128, 1 << 20, 400_000
+CHUNK, GROUP, KEEP = 128, 1 << 21, 600_000
+#: Pieces of up to SHORT_PIECE bytes are told apart by their bytes and length in 16 bytes.
+SHORT_PIECE = 15
 #: Fixed pattern of the splitter that is compiled here; a file with another one is refused.
 CONTRACTIONS = {"short": "stmd", "long": ("re", "ve", "ll")}
 
@@ -138,6 +141,8 @@ class Merger:
 
     def clear(self) -> None:
         self.next: dict[int, tuple[int, int]] = {}
+        #: The same, sorted: state and byte, next state, tokens more.
+        self.sorted = tuple(np.zeros(0, np.int64) for _ in range(3))
         #: (text end, last token at each place in it, count at each place less the count now)
         self.states: list[tuple[bytes, tuple, tuple]] = [(b"", (None,), (0,))]
         self.ids = {self.states[0]: 0}
@@ -179,18 +184,62 @@ class Merger:
         return out
 
     def count(self, piece: bytes) -> int:
-        if (n := self.known.get(piece)) is not None:
-            return n
-        if len(self.next) > self.keep or len(self.known) > 2 * self.keep:
-            self.clear()
+        """Tokens of one piece of any length."""
         state = total = 0
         for byte in piece:
             state, more = self.next.get(state << 8 | byte) or self.compile(state, byte)
             total += more
-        if len(piece) < 256:
-            self.known[piece] = total
         return total
 
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """Tokens of distinct short pieces, each a row of SHORT_PIECE bytes and its length."""
+        blob, known = rows.tobytes(), self.known
+        out = np.array([known.get(blob[i : i + 16], -1) for i in range(0, len(blob), 16)], np.int64)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            if len(self.next) > self.keep or len(known) > 2 * self.keep:
+                self.clear()
+            out[new] = self._run(rows[new])
+            for i, n in zip(new.tolist(), out[new].tolist(), strict=True):
+                self.known[blob[16 * i : 16 * i + 16]] = n
+        return out
+
+    def _run(self, rows: np.ndarray) -> np.ndarray:
+        """All pieces side by side. What is compiled on the way is looked up in a table of its own until the end."""
+        state, total = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        fresh = tuple(np.zeros(0, np.int64) for _ in range(3))
+        for j in range(int(rows[:, SHORT_PIECE].max())):
+            on = np.flatnonzero(rows[:, SHORT_PIECE] > j)
+            key = state[on] << 8 | rows[on, j]
+            to, more = np.zeros(len(on), np.int64), np.zeros(len(on), np.int64)
+            left = np.arange(len(on))
+            for table in (self.sorted, fresh):
+                left = _look_up(table, key, left, to, more)
+            if len(left):
+                keys = np.unique(key[left])
+                got = np.array([self.next.get(k) or self.compile(k >> 8, k & 255) for k in keys.tolist()], np.int64)
+                _look_up((keys, got[:, 0], got[:, 1]), key, left, to, more)
+                fresh = _merged(fresh, (keys, got[:, 0], got[:, 1]))
+            state[on] = to
+            total[on] += more
+        self.sorted = _merged(self.sorted, fresh)
+        return total
+
+
+def _look_up(table: tuple, key: np.ndarray, left: np.ndarray, to: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Fills to and more where the table has the key; which of left it hasn't."""
+    if not len(table[0]) or not len(left):
+        return left
+    at = np.minimum(np.searchsorted(table[0], key[left]), len(table[0]) - 1)
+    hit = table[0][at] == key[left]
+    to[left[hit]], more[left[hit]] = table[1][at[hit]], table[2][at[hit]]
+    return left[~hit]
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
 
 class Tokenizer:
     """The compiled tokenizer of a byte-level BPE file of the tokenizers library."""
@@ -243,14 +292,31 @@ class Tokenizer:
         # A text's last piece ends at its own end, not where the next text begins.
         owner = np.searchsorted(ends, begins)
         stop = np.minimum(stop, ends[owner])
-        raw, known, count = blob.encode(), self.merger.known, self.merger.count
-        totals = np.zeros(len(held), np.int64)
-        n = [c if (c := known.get(p := raw[a:b])) is not None else count(p) for a, b in zip(offset[begins].tolist(), offset[stop].tolist(), strict=True)]
-        np.add.at(totals, owner, n)
+        raw, a, b = blob.encode(), offset[begins], offset[stop]
+        n = np.zeros(len(a), np.int64)
+        short = np.flatnonzero(b - a <= SHORT_PIECE)
+        if len(short):
+            rows = _short_rows(np.frombuffer(raw + bytes(SHORT_PIECE), np.uint8), a[short], b[short] - a[short])
+            low, high = rows.view("<u8").T
+            order = np.lexsort((low, high))
+            new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+            n[short[order]] = self.merger.counts(rows[order[new]])[np.cumsum(new) - 1]
+        for i in np.flatnonzero(b - a > SHORT_PIECE).tolist():
+            n[i] = self.merger.count(raw[a[i] : b[i]])
+        totals = np.bincount(owner, n, len(held)).astype(np.int64)
         for (i, _), k in zip(held, totals.tolist(), strict=True):
             out[i] += k
 
 
+def _short_rows(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A row for each piece: its bytes, zeros, and in the last place its length."""
+    rows = np.zeros((len(start), SHORT_PIECE + 1), np.uint8)
+    for j in range(SHORT_PIECE):
+        rows[:, j] = np.where(j < size, raw[start + j], 0)
+    rows[:, SHORT_PIECE] = size
+    return rows
+
+
 def _short(text: str) -> list[str]:
     """A text in parts of about GROUP characters, cut between a sign and a space, where a piece begins whatever came before."""
     out, a = [], 0
