@@ -91,8 +91,8 @@ class DigestIndex:
         return "digests_" + hashlib.md5(f"{self.path}/{folder}".encode()).hexdigest()
 
     def _write(self, df: DataFrame, folder: str) -> str:
-        """A bucketed table in the folder. One task writes one bucket."""
-        name, rows = self._name(folder), df.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        """A bucketed table in the folder. One task writes one bucket, whatever the session's number of partitions: Spark's bucket is this hash."""
+        name, rows = self._name(folder), df.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets))).sortWithinPartitions("digest")
         rows.write.mode("overwrite").bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.path}/{folder}").saveAsTable(name)
         return name
 
