@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import append_tax_tag, extract_gi, sanitise_name
+from ..shared import staged
 
 #: Fixed order of ranks, from the top.
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
@@ -31,7 +32,8 @@ def lineage(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """tax_id, ancestor, depth, ancestor_rank for every node and each of its ancestors, itself included.
 
     nodes: tax_id, parent_id, rank; a root is its own parent or has none. Paths double in length with each join, so
-    a tree of depth d takes log2(d) of them; deeper than max_depth is an error, as a loop would be.
+    a tree of depth d takes log2(d) of them; deeper than max_depth is an error, as a loop would be. What a join finds is written, so
+    that the next one doesn't find it again.
     """
     up = nodes.filter("parent_id is not null and parent_id <> tax_id").select("tax_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
     paths = nodes.select("tax_id", F.col("tax_id").alias("ancestor"), F.lit(0).alias("depth")).unionAll(up)
@@ -39,6 +41,7 @@ def lineage(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     while True:
         step = paths.filter(F.col("depth") == reach).select(F.col("tax_id").alias("_t"), F.col("ancestor").alias("_mid"))
         longer = step.join(paths.filter("depth > 0").withColumnRenamed("tax_id", "_mid"), "_mid").select(F.col("_t").alias("tax_id"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        longer = staged(longer, "paths")
         if longer.isEmpty():
             break
         if reach >= max_depth:

@@ -40,16 +40,29 @@ class Settings:
         return f"k{self.k}_s{self.step}_mc{self.cutoff}_mm{int(self.mismatches)}_cl{self.policy}_sim{self.similarity}"
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], *partition: str) -> DataFrame:
     """A stage's table: read if an earlier run finished it, else made and written. Spark marks a finished table; a broken one is made anew."""
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if not finished(spark, path):
         writer = make().write.mode("overwrite")
         (writer.partitionBy(*partition) if partition else writer).parquet(path)
     return spark.read.parquet(path)
 
 
+def at_ranks(seqs: DataFrame, nodes: DataFrame, names: DataFrame, ranks: list[str]) -> DataFrame:
+    """seqs (header, seq) with a column per rank: the name of its taxon there, from the header's tag, or null."""
+    paths = lineage(nodes)
+    out = seqs.select(H.taxid_from_header(F.col("header")).try_cast("bigint").alias("tax_id"), "seq")
+    for rank in ranks:
+        at = at_rank(paths, names, rank).filter("anc_id is not null").select("tax_id", H.sanitise_name(F.col("anc_name")).alias(rank))
+        out = out.join(at, "tax_id", "left")
+    return out
+
+
 def divide(seqs: DataFrame, nodes: DataFrame, names: DataFrame, upper: str, lower: str) -> DataFrame:
     """seqs (file, header, seq) with tax_id, from the header's tag, and group, from its taxa at two ranks."""
     paths = lineage(nodes)

@@ -4,30 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.headers import read_key
 
 _LINES = r"\r?\n"
 
 
+def _order(spark: SparkSession, paths: list[str]) -> Column:
+    """Where a row stands: the file's place in the list, the file, the part of the file that was read, the row in that part."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    full = lambda p: path(p).getFileSystem(conf).makeQualified(path(p)).toString()
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    listed = F.array_position(F.array(*[bare(F.lit(full(p))) for p in paths]), bare(F.col("_metadata.file_path")))
+    return F.struct(listed.alias("listed"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, header (with its >), seq (lines joined), wrapped (as it stood): a row per record.
+    """file, header (with its >), seq (lines joined), wrapped (its lines as they stood), place: a row per record; rows in the order of place stand as in the files.
 
-    Files are split between records, so one large file is read by many tasks. What precedes a file's first > is left out.
+    A record begins with a > at the start of a line; a header may hold more of them. Files begin with a record, after empty lines
+    at most, and are split between records, so one large file is read by many tasks.
     """
-    rows = spark.read.text(paths, lineSep=">")
-    # A > inside a header or sequence doesn't begin a record, but records of this format hold none; an empty part precedes the first.
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    rows = spark.read.text(paths, lineSep="\n>").select(F.input_file_name().alias("file"), "value", _order(spark, paths).alias("place"))
+    # The first record of a file has its > still; empty lines before it are a part of their own.
+    rows = rows.withColumn("value", F.regexp_replace("value", "^>", "")).filter(F.length(F.trim(F.regexp_replace("value", r"[\r\n]", ""))) > 0)
     lines = F.split(F.col("value"), _LINES)
-    found = rows.select(F.input_file_name().alias("file"), F.col("value"), lines.alias("lines")).filter(F.length(F.trim("value")) > 0)
-    body = F.regexp_replace(F.col("value"), r"^[^\n]*\n?", "")
-    return found.select("file", F.concat(F.lit(">"), F.element_at("lines", 1)).alias("header"), F.regexp_replace(F.array_join(F.slice("lines", 2, F.size("lines")), ""), r"[\x00-\x1f]", "").alias("seq"), F.rtrim(body, F.lit("\n\r")).alias("wrapped"))
+    body = F.filter(F.transform(F.slice("lines", 2, F.size("lines")), lambda x: F.regexp_replace(x, r"[\x00-\x1f]", "")), lambda x: x != "")
+    found = rows.withColumn("lines", lines).withColumn("body", body)
+    return found.select("file", F.concat(F.lit(">"), F.element_at("lines", 1)).alias("header"), F.array_join("body", "").alias("seq"), F.array_join("body", "\n").alias("wrapped"), "place")
 
 
 def as_reads(fasta: DataFrame) -> DataFrame:
-    """read_key, title, seq, wrapped. The title ends at the first control sign; every sign of a sequence is a place of it."""
+    """read_key, title, seq, wrapped, place. The title ends at the first control sign; every sign of a sequence is a place of it."""
     title = F.regexp_replace("header", r"[\x00-\x1f].*$", "")
-    return fasta.select(read_key(F.substring(title, 2, 1 << 30)).alias("read_key"), title.alias("title"), "seq", "wrapped")
+    return fasta.select(read_key(F.substring(title, 2, 1 << 30)).alias("read_key"), title.alias("title"), "seq", "wrapped", "place")
 
 
 def last_by_key(reads: DataFrame, order: Column | str, key: str = "read_key") -> DataFrame:
@@ -52,7 +63,7 @@ def zip_lists(files: DataFrame, groups: DataFrame) -> DataFrame:
 
 def read_gi_map(spark: SparkSession, path: str) -> DataFrame:
     """gi, tax_id, seq_no: white space between two numbers; seq_no rises with the place in the file."""
-    rows = spark.read.text(path).withColumn("seq_no", F.monotonically_increasing_id())
+    rows = spark.read.text(path).withColumn("seq_no", _order(spark, [path]))
     parts = F.split(F.trim("value"), r"\s+")
     return rows.select(parts[0].try_cast("bigint").alias("gi"), parts[1].try_cast("bigint").alias("tax_id"), "seq_no").filter("gi is not null")
 
@@ -83,7 +94,3 @@ def parse_scores(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def read_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_scores(spark.read.text(path))
-
-
-def fasta_schema() -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in ("file", "header", "seq")])

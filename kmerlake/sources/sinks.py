@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,9 +17,9 @@ def fasta_text(header: Column, seq: Column, wrapped: Column | None = None) -> Co
     return F.concat(header, F.lit("\n"), wrapped if wrapped is not None else wrap(seq))
 
 
-def write_fasta(df: DataFrame, path: str, group: str | None = None, mode: str = "append") -> None:
-    """Text files of records (header, seq), in a folder per group if there is one."""
-    text = df.select(*([group] if group else []), fasta_text(F.col("header"), F.col("seq")).alias("value"))
+def write_fasta(df: DataFrame, path: str, group: str | None = None, mode: str = "append", wrapped: str | None = None) -> None:
+    """Text files of records (header, seq), in a folder per group if there is one. wrapped: a column with the lines as they stood; else they are wrapped anew."""
+    text = df.select(*([group] if group else []), fasta_text(F.col("header"), F.col("seq"), F.col(wrapped) if wrapped else None).alias("value"))
     if group:
         text.repartition(group, F.pmod(F.xxhash64("value"), F.lit(8))).write.mode(mode).partitionBy(group).text(path)
     else:
@@ -34,19 +36,34 @@ def write_scores(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.withColumn("side", F.when(F.col("label") == MISMATCH, "MM").otherwise("M")).write.mode(mode).partitionBy("group", "side").parquet(path)
 
 
-def write_assignment(kept: DataFrame, reads: DataFrame, path: str, policy: int = A.UNIQUE, key: str = "read_key", mode: str = "append") -> None:
-    """Under path: groups (FASTA by group), multiclass (score rows), notknow (FASTA), histogram, and verdict (rows by TP, FP, NK) if reads have a truth."""
+def write_assignment(kept: DataFrame, reads: DataFrame, path: str, policy: int = A.UNIQUE, key: str = "read_key", mode: str = "append", **run) -> None:
+    """Under path: groups (FASTA by group), multiclass (score rows), notknow (FASTA), histogram, and, if reads have a truth, verdict (rows by
+    TP, FP, NK) and summary, a row that is added for each run: tp, fp, not_known, multi, seconds, and the run's parameters as given.
+
+    Sequences keep the lines that they had, if reads have them (wrapped).
+    """
+    began = time.time()
+    lines = "wrapped" if "wrapped" in reads.columns else None
     assigned, _ = A.with_sequences(A.assign(kept, policy, key), reads, key)
-    write_fasta(assigned.withColumnRenamed("title", "header"), f"{path}/groups", "group", mode)
+    write_fasta(assigned.withColumnRenamed("title", "header"), f"{path}/groups", "group", mode, lines)
     A.multiclass(kept, key).write.mode(mode).parquet(f"{path}/multiclass")
-    write_fasta(A.unclassified(kept, key).join(reads, key).withColumnRenamed("title", "header"), f"{path}/notknow", None, mode)
+    write_fasta(A.unclassified(kept, key).join(reads, key).withColumnRenamed("title", "header"), f"{path}/notknow", None, mode, lines)
     A.tie_histogram(kept, key).write.mode(mode).parquet(f"{path}/histogram")
     if "truth" in reads.columns:
-        A.check_truth(assigned).select(key, "group", "match", "min_err", "verdict").write.mode(mode).partitionBy("verdict").parquet(f"{path}/verdict")
+        checked = A.check_truth(assigned)
+        checked.select(key, "group", "match", "min_err", "verdict").write.mode(mode).partitionBy("verdict").parquet(f"{path}/verdict")
+        append_report(summary(A.confusion(checked, kept, policy, key), policy=policy, **run), f"{path}/summary", began)
+
+
+def summary(confusion: DataFrame, **run) -> DataFrame:
+    """tp, fp, not_known, multi, and the run's parameters. Not known are also reads that were assigned but have no truth."""
+    return confusion.select("tp", "fp", (F.col("nk") + F.col("not_known")).alias("not_known"), "multi", *[F.lit(v).alias(n) for n, v in run.items()])
 
 
-def append_report(report: DataFrame, path: str) -> None:
-    """Adds a one-row report to its table."""
+def append_report(report: DataFrame, path: str, began: float | None = None) -> None:
+    """Adds a report of a few rows to its table; seconds since began, if given."""
+    if began is not None:
+        report = report.withColumn("seconds", F.lit(time.time() - began))
     report.coalesce(1).write.mode("append").parquet(path)
 
 

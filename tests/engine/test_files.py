@@ -27,6 +27,32 @@ def test_fasta(spark, tmp_path):
     assert reads == {"gi|7|x one": (">gi|7|x one", "ACGTACG"), "two": (">two <name|T|", "TT"), "three": (">three", "")}
 
 
+def test_headers_may_hold_more_signs(spark, tmp_path):
+    path = write(tmp_path / "a.fa", "\n>r1 5->3 strand\nACGT\nAC\r\n>two>three\r\nTT\n\nGG\n>last")
+    got = [(r["header"], r["seq"], r["wrapped"]) for r in fasta.read_fasta(spark, path).orderBy("place").collect()]
+    assert got == [(">r1 5->3 strand", "ACGTAC", "ACGT\nAC"), (">two>three", "TTGG", "TT\nGG"), (">last", "", "")]
+
+
+def test_the_last_of_equal_keys_is_that_of_the_last_file(spark, tmp_path):
+    files = [write(tmp_path / n, f">same\n{s}\n>own{n}\nA\n>same\n{s}{s}\n") for n, s in (("z.fa", "AC"), ("a.fa", "GGGGGGGGGG"), ("m.fa", "T"))]
+    for order in (files, files[::-1], [files[1], files[0], files[2]]):
+        rows = fasta.as_reads(fasta.read_fasta(spark, order))
+        got = {r["read_key"]: r["seq"] for r in fasta.last_by_key(rows, "place").collect()}
+        assert got["same"] == {"z": "ACAC", "a": "G" * 20, "m": "TT"}[order[-1].rsplit("/", 1)[-1][0]]
+
+
+def test_records_are_whole_where_a_file_is_split(spark, tmp_path):
+    want = [(f">r{i} a>b", "ACGT" * (i % 40)) for i in range(3000)]
+    path = write(tmp_path / "a.fa", "".join(f"{h}\n{s}\n" for h, s in want))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        rows = fasta.read_fasta(spark, path)
+        assert rows.rdd.getNumPartitions() > 5
+        assert [(r["header"], r["seq"]) for r in rows.orderBy("place").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_fasta_round_trip(spark, tmp_path):
     rows = [("g1", ">a", "ACGT" * 40), ("g1", ">b", "A" * 65), ("g/2", ">c", "")]
     df = spark.createDataFrame(rows, "group string, header string, seq string")
