@@ -49,7 +49,7 @@ def last_by_key(reads: DataFrame, order: Column | str, key: str = "read_key") ->
 
 def read_list(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
     """pos (from 0) and name for the lines of a list file, which is small and read whole; empty lines don't count."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", _LINES), F.trim), lambda x: x != "")).alias("pos", name))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", _LINES), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", name))
     return rows
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from kmerlake.plans import catalogue, names, registry  # noqa: F401
+from kmerlake.plans import catalogue, files, names, registry  # noqa: F401
 from tests.conftest import rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
