@@ -61,28 +61,36 @@ def kmer_text(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
-def _tile(part: Column) -> tuple[Column, Column]:
-    """A tile's bases as a number, with A for what is no base, and a bit for each place that has none. Few tiles have such a place."""
-    bad = F.when(part.contains("N"), F.conv(F.translate(part, "ACGTN", "00001"), 2, 10).cast("long")).otherwise(F.lit(0).cast("long"))
-    return kmer_code(F.translate(part, "N", "A")), bad
+def _tile(part: Column) -> Column:
+    """A tile's bases as a number (c), 0 for what is no base, and a bit for each place that has none (x). Few tiles have such a place."""
+    full, odd = F.rpad(part, TILE, "N"), (F.length(part) < TILE) | part.contains("N")
+    number = lambda c, base: F.conv(c, base, 10).cast("long")
+    return F.struct(number(F.when(odd, F.translate(full, "N", "0")).otherwise(part), 4).alias("c"), F.when(odd, number(F.translate(full, "0123N", "00001"), 2)).otherwise(F.lit(0).cast("long")).alias("x"))
 
 
 def explode_kmers(df: DataFrame, k: int, seq: str = "seq", valid_only: bool = True) -> DataFrame:
     """df's columns but seq, with pos (from 0), kmer and next_valid: a row for each place; shorter sequences have none.
 
-    The sequence, of A, C, G, T and N, is cut into tiles once, and each tile becomes a number once; a window is cut out of
-    two neighbouring numbers by shifts. So the work is linear in the length, and no k-mer is ever a string.
+    The sequence, both cases of A, C, G, T and signs that are no base, is cut into tiles once, and each tile becomes a number
+    once; a window is cut out of two neighbouring numbers by shifts. So the work is linear in the length, and no k-mer is ever a string.
     next_valid: the base behind the window is one (false at the end). Without valid_only all places come, with a column valid.
     """
     rest = [c for c in df.columns if c != seq]
     kept = [F.col(f"`{c}`") for c in rest]
-    cut = df.filter(F.length(seq) >= k).select(*kept, F.length(seq).alias("_len"), F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0)).alias("_tiles"))
+    # A sign costs most where it is looked up, so bases become digits in one go.
+    digits = F.regexp_replace(F.translate(seq, "ACGTacgt0123", "01230123NNNN"), "[^0-3]", "N")
+    cut = df.select(*kept, digits.alias("_seq")).select(*kept, F.length("_seq").alias("_len"), F.regexp_extract_all(F.col("_seq"), F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0)).alias("_tiles"))
+    codes = cut.select(*kept, "_len", F.transform("_tiles", _tile).alias("_codes"))
     # Neighbours side by side; what lies behind the end is no base.
-    pairs = F.zip_with("_tiles", F.slice("_tiles", 2, F.size("_tiles")), lambda a, b: F.struct(F.rpad(a, TILE, "N").alias("a"), F.rpad(F.coalesce(b, F.lit("")), TILE, "N").alias("b")))
-    tiles = cut.select(*kept, "_len", F.posexplode(pairs).alias("_tile", "_p"))
-    (a, a_bad), (b, b_bad) = _tile(F.col("_p.a")), _tile(F.col("_p.b"))
-    tiles = tiles.select(*kept, "_len", (F.col("_tile") * TILE).alias("_from"), a.alias("_a"), b.alias("_b"), a_bad.alias("_ax"), b_bad.alias("_bx"))
-    places = tiles.select(*kept, "_len", "_from", "_a", "_b", "_ax", "_bx", F.explode(F.array(*[F.lit(i) for i in range(TILE)])).alias("_at")).filter(F.col("_from") + F.col("_at") + k <= F.col("_len"))
+    none = F.struct(F.lit(0).cast("long").alias("c"), F.lit((1 << TILE) - 1).cast("long").alias("x"))
+    pairs = F.zip_with("_codes", F.slice("_codes", 2, F.greatest(F.size("_codes"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, none).alias("b")))
+    tiles = codes.select(*kept, "_len", F.posexplode(pairs).alias("_tile", "_p"))
+    tiles = tiles.select(*kept, "_len", (F.col("_tile") * TILE).alias("_from"), F.col("_p.a.c").alias("_a"), F.col("_p.b.c").alias("_b"), F.col("_p.a.x").alias("_ax"), F.col("_p.b.x").alias("_bx"))
+    # A window that passes the end holds places without a base. (A filter on the length would be taken to the scan, and cut there, too.)
+    offsets = F.array(*[F.lit(i) for i in range(TILE)])
+    if not valid_only:
+        offsets = F.slice(offsets, 1, F.least(F.lit(TILE), F.greatest(F.lit(0), F.col("_len") - F.col("_from") - k + 1)))
+    places = tiles.select(*kept, "_len", "_from", "_a", "_b", "_ax", "_bx", F.explode(offsets).alias("_at"))
     # A window of n bases from _at on ends over places behind the first tile, or as many before its end.
     over = f"(_at + {k} - {TILE})"
 

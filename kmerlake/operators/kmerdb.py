@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import BASES, check_k, explode_kmers, kmer_text, normal_bases
+from ..functions.dna import BASES, check_k, explode_kmers, kmer_text
 
 #: A count takes one byte.
 COUNT_MAX = 255
@@ -20,7 +20,7 @@ def saturate(count: Column) -> Column:
 def count_kmers(seqs: DataFrame, k: int, group: str | list[str] = "group", seq: str = "seq") -> DataFrame:
     """group, kmer, cnt (not saturated). Counting begins before the exchange, so a frequent k-mer crosses it once a task."""
     groups = [group] if isinstance(group, str) else group
-    kmers = explode_kmers(seqs.select(*groups, normal_bases(F.col(seq)).alias("seq")), check_k(k))
+    kmers = explode_kmers(seqs.select(*groups, F.col(seq).alias("seq")), check_k(k))
     return kmers.groupBy(*groups, "kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -40,7 +40,7 @@ def members(seqs: DataFrame, k: int, wanted: DataFrame, group: str | list[str] =
     The semi-join comes before the exchange; Spark broadcasts wanted if it is small enough, and else sorts both sides.
     """
     groups = [group] if isinstance(group, str) else group
-    kmers = explode_kmers(seqs.select(*groups, normal_bases(F.col(seq)).alias("seq")), check_k(k))
+    kmers = explode_kmers(seqs.select(*groups, F.col(seq).alias("seq")), check_k(k))
     return kmers.join(wanted.select("kmer").distinct(), "kmer", "left_semi").select(*groups, "kmer").distinct()
 
 
