@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def _give_back() -> None:
+    """Workers outlive their tasks; what a task has freed goes back to the machine, so that the stages of a job don't add up in them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with the GNU C library
+    if trim:
+        trim(0)
+
+
 def arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """df.mapInArrow() in small batches, whose workers find this package wherever they start. On a cluster it is installed, or sent with --py-files."""
     if df.sparkSession.conf.get(_BATCH) in ("64MB", "64m", "67108864b", "67108864"):  # Spark's default
@@ -36,7 +46,12 @@ def arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     env = df.sparkSession.sparkContext.environment
     if _ROOT not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join(x for x in [*known, _ROOT] if x)
-    return df.mapInArrow(f, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def ascii_lower(text: Column) -> Column:
