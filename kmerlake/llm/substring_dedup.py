@@ -6,12 +6,17 @@ of each anchor: never fewer than those of any window under it. A document's dige
 the cells that they fill; ranges of cells are merged apart. A second pass groups exactly the documents whose digest
 is estimated to be repeated, and the windows whose anchor is; a later copy of a document goes whole, and only the
 first one's windows take part.
+
+The sketch grows with the data. Up to BROADCAST_BITS every worker holds it; a larger one stays a table, and the keys
+go to its cells: all cells of a key lie in blocks side by side, so that a key has one place to ask. Both ways
+give the same estimates.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, staged
+from .common import arrow, drop_staged, staged, staged_so_far
 from .shingles import U, mix, runs, word_hashes, words
 
 WINDOW, ANCHOR, ROWS = 50, 38, 3
 _MULTIPLIERS = (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9FB21C651E98DF25))
+_SPREAD = U(0xD6E8FEB86659FD93)
 BLOCK_BITS, FLUSH = 16, 1 << 19
+#: A sketch of more cells in a row (of two bits while it is merged, then one) isn't sent to the workers: 3 rows of 2**28 bits are 101 MB.
+BROADCAST_BITS = 28
+#: Into so many units at most the cells of a larger sketch are dealt; a task holds one at a time.
+UNIT_BITS = 17
 
 
 def anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -48,9 +58,15 @@ def whole_key(hashes: np.ndarray) -> np.ndarray:
     return mix(np.frombuffer(digest(hashes)[:8], "<u8"))
 
 
+def places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the 2**(bits - BLOCK_BITS) stretches of the sketch holds each key's cells; a stretch is one block of every row."""
+    return ((keys * _SPREAD) >> U(64 - bits + BLOCK_BITS)).astype(np.int64) if bits > BLOCK_BITS else np.zeros(len(keys), np.int64)
+
+
 def cells(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The sketch's cells of each key, a row of cells after the other."""
-    return np.concatenate([((keys * m) >> U(64 - bits)).astype(np.int64) + (r << bits) for r, m in enumerate(_MULTIPLIERS)])
+    """The sketch's cells of each key, those of a row after those of another; a stretch's blocks lie side by side."""
+    first = places(keys, bits) * ROWS
+    return np.concatenate([((first + r) << BLOCK_BITS) + ((keys * m) >> U(64 - BLOCK_BITS)).astype(np.int64) for r, m in enumerate(_MULTIPLIERS)])
 
 
 class Sketch:
@@ -68,20 +84,27 @@ class Sketch:
         return ((self.full[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 
+def _stretches(sorted_ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The runs of equal ids, from and to."""
+    edge = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+    return zip(edge.tolist(), [*edge[1:].tolist(), len(sorted_ids)], strict=True)
+
+
+def _send(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The cells of keys by block: those filled once, and those filled more often."""
+    at, n = np.unique(cells(keys, bits), return_counts=True)
+    block = at >> BLOCK_BITS
+    ids, once, more = [], [], []
+    for a, b in _stretches(block):
+        low, several = (at[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u2"), n[a:b] > 1
+        ids.append(int(block[a]))
+        once.append(low[~several].tobytes())
+        more.append(low[several].tobytes())
+    yield pa.RecordBatch.from_pydict({"block": pa.array(ids, pa.int64()), "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
+
+
 def _fill(bits: int, window: int, anchor: int):
-    """A partition's sketch as cells by block: those filled once, and those filled more often."""
-
-    def send(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        at, n = np.unique(cells(np.concatenate(keys), bits), return_counts=True)
-        block = at >> BLOCK_BITS
-        edge = np.flatnonzero(np.diff(block, prepend=-1))
-        ids, once, more = [], [], []
-        for a, b in zip(edge, [*edge[1:], len(at)], strict=True):
-            low, several = (at[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u2"), n[a:b] > 1
-            ids.append(int(block[a]))
-            once.append(low[~several].tobytes())
-            more.append(low[several].tobytes())
-        yield pa.RecordBatch.from_pydict({"block": pa.array(ids, pa.int32()), "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
+    """A partition's sketch."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -92,10 +115,10 @@ def _fill(bits: int, window: int, anchor: int):
                     held += [keys, whole_key(hashes)]
                     size += len(keys) + 1
                 if size >= FLUSH:
-                    yield from send(held)
+                    yield from _send(np.concatenate(held), bits)
                     held, size = [], 0
         if held:
-            yield from send(held)
+            yield from _send(np.concatenate(held), bits)
 
     return part
 
@@ -116,27 +139,145 @@ def _merge(bits: int):
                 seen[i] = np.packbits(bits, axis=1, bitorder="little")
         full = [(i, x[1].tobytes()) for i, x in seen.items() if x[1].any()]
         if full:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in full], pa.int32()), "full": [f for _, f in full]})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in full], pa.int64()), "full": [f for _, f in full]})
 
     return part
 
 
-def sketch_bits(n_bytes: int, least: int = 16, most: int = 28) -> int:
-    """Cells in a row of the sketch: about four for each anchor that the bytes will have, an anchor being about 42 bytes.
+def sketch_bits(n_bytes: int, least: int = 16) -> int:
+    """Cells in a row of the sketch: four to eight for each anchor that the bytes will have, an anchor being about 42 bytes.
 
-    Every worker holds the sketch, so it stops at 2**most. Beyond, an anchor that stands once passes with the chance
-    (1 - exp(-anchors / 2**most))**ROWS: with 28, 1 % at 2.8 GB, 20 % at 10 GB, 80 % at 30 GB. None is lost; the exact
-    grouping behind it then takes nearly all windows, 24 bytes for each word.
+    An anchor that stands once passes with the chance (1 - exp(-1 / 4))**ROWS = 1.1 % at most, at any size.
     """
-    return int(min(most, max(least, np.ceil(np.log2(max(1, n_bytes / 42 * 4))))))
+    return int(max(least, np.ceil(np.log2(max(1, n_bytes / 42 * 4)))))
+
+
+_CELLS, _BLOCKS = "block long, once binary, more binary", "block long, full binary"
+
+
+def _merged(filled: DataFrame, bits: int) -> DataFrame:
+    return filled.repartition("block").transform(arrow, _merge(bits), _BLOCKS)
 
 
 def build_sketch(docs: DataFrame, text: str, bits: int, window: int = WINDOW, anchor: int = ANCHOR) -> Sketch:
-    filled = docs.select(F.col(text).alias("text")).transform(arrow, _fill(bits, window, anchor), "block int, once binary, more binary")
-    merged = filled.repartition("block").transform(arrow, _merge(bits), "block int, full binary")
+    """A sketch for every worker, of up to BROADCAST_BITS."""
+    merged = _merged(docs.select(F.col(text).alias("text")).transform(arrow, _fill(bits, window, anchor), _CELLS), bits)
     return Sketch(bits, {r["block"]: bytes(r["full"]) for r in merged.collect()})
 
 
+def _keyed(bits: int, side: int, window: int, anchor: int):
+    """The keys of documents (doc, text), with their documents, by unit of the sketch (2**side stretches): as many rows as a group of FLUSH keys fills units."""
+
+    def send(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        unit = places(keys, bits) >> side
+        order = np.lexsort((keys, unit))
+        unit, keys, docs = unit[order], keys[order], docs[order]
+        rows = [(int(unit[a]), keys[a:b].tobytes(), docs[a:b].tobytes()) for a, b in _stretches(unit)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["unit", "keys", "docs"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of, size = [], [], 0
+        for b in batches:
+            for doc, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
+                hashes = word_hashes(words(t))
+                if len(keys := np.unique(anchors(hashes, window, anchor))):
+                    held.append(np.concatenate([keys, whole_key(hashes)]))
+                    of.append(np.full(len(keys) + 1, doc, np.int64))
+                    size += len(keys) + 1
+                if size >= FLUSH:
+                    yield from send(np.concatenate(held), np.concatenate(of))
+                    held, of, size = [], [], 0
+        if held:
+            yield from send(np.concatenate(held), np.concatenate(of))
+
+    return part
+
+
+def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for unit, keys, docs in zip(*(b.column(c).to_pylist() for c in ("unit", "keys", "docs")), strict=True):
+        yield unit, np.frombuffer(keys, U), np.frombuffer(docs, np.int64)
+
+
+def _fill_keyed(bits: int):
+    """The sketch of rows of _keyed()."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield from _send(np.concatenate([keys for _, keys, _ in _unpacked(b)]), bits)
+
+    return part
+
+
+def _alone(keys: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys stand once."""
+    edge = np.concatenate([[True], keys[1:] != keys[:-1], [True]])
+    return edge[:-1] & edge[1:]
+
+
+def _answer(docs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys.view(np.int64))], ["doc", "key"])
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that a group itself shows to be repeated: no need to ask, however many documents have them."""
+    for b in batches:
+        for _, keys, docs in _unpacked(b):
+            if not (one := _alone(keys)).all():
+                yield _answer(docs[~one], keys[~one])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The others, of which a group has each once: no unit gets more of a key than there are groups."""
+    for b in batches:
+        rows = [(unit, keys[one].tobytes(), docs[one].tobytes()) for unit, keys, docs in _unpacked(b) if (one := _alone(keys)).any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["unit", "keys", "docs"])
+
+
+def _ask(bits: int):
+    """A unit's blocks come first, then the keys that ask: those whose cells all count two or more."""
+    size = (1 << BLOCK_BITS) // 8
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks = None, {}
+        empty = np.zeros(size, np.uint8)
+        for b in batches:
+            for unit, block, full, keys, docs in zip(*(b.column(c).to_pylist() for c in ("unit", "block", "full", "keys", "docs")), strict=True):
+                if unit != now:
+                    now, blocks = unit, {}
+                if full is not None:
+                    blocks[block] = np.frombuffer(full, np.uint8)
+                    continue
+                keys, docs = np.frombuffer(keys, U), np.frombuffer(docs, np.int64)
+                at = cells(keys, bits)
+                good, order = np.zeros(len(at), bool), np.argsort(at >> BLOCK_BITS, kind="stable")
+                for x, y in _stretches((at >> BLOCK_BITS)[order]):
+                    own = order[x:y]
+                    low = at[own] & ((1 << BLOCK_BITS) - 1)
+                    good[own] = (blocks.get(int(at[own[0]] >> BLOCK_BITS), empty)[low >> 3] >> (low & 7).astype(np.uint8)) & 1
+                good = good.reshape(ROWS, -1).all(0)
+                if good.any():
+                    yield _answer(docs[good], keys[good])
+
+    return part
+
+
+def repeated_keys(docs: DataFrame, bits: int, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """doc, repeated: which keys of each of docs (doc, text) the sketch estimates to be repeated, by a sketch that no machine holds as a whole."""
+    side = max(0, bits - BLOCK_BITS - UNIT_BITS)
+    keyed = staged(docs.transform(arrow, _keyed(bits, side, window, anchor), "unit long, keys binary, docs binary"), "keyed")
+    blocks = _merged(keyed.transform(arrow, _fill_keyed(bits), _CELLS), bits)
+    unit = F.shiftright((F.col("block") / ROWS).cast("long"), side)
+    none = F.lit(None).cast("binary")
+    blocks = blocks.select(unit.alias("unit"), "block", "full", none.alias("keys"), none.alias("docs"))
+    asked = keyed.transform(arrow, _asked, "unit long, keys binary, docs binary").select("unit", F.lit(-1).cast("long").alias("block"), none.alias("full"), "keys", "docs")
+    asked = blocks.unionAll(asked).repartition("unit").sortWithinPartitions("unit", F.col("full").isNull()).transform(arrow, _ask(bits), "doc long, key long")
+    # As many keys as a document has words, at most. A table of its own, for who joins it with a doc that has many rows.
+    known = keyed.transform(arrow, _known, "doc long, key long")
+    return staged(known.unionAll(asked).groupBy("doc").agg(F.collect_set("key").alias("repeated")), "repeated-keys")
+
+
 _FOUND = "h long, g int, pos int, doc long, n_words long, sha binary, copy binary, text string"
 
 
@@ -146,20 +287,22 @@ def _windows(key: int, hashes: np.ndarray, pos: np.ndarray, window: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(pos.astype(np.int32)), pa.array(np.full(len(pos), key, np.int64))], ["h", "g", "pos", "doc"])
 
 
-def second_pass(docs: DataFrame, sketch: Sketch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Rows of two kinds: for every document doc, n_words, sha (of all its words), copy (its digest, if it is estimated repeated) and
+def second_pass(docs: DataFrame, sketch: Sketch | None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """From doc, text and, without a sketch, repeated (repeated_keys()), rows of two kinds: for every document doc, n_words, sha (of all its words), copy (its digest, if it is estimated repeated) and
     text (only if it may lose words); and h, g, pos, doc of the windows estimated repeated in documents that aren't."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch) if sketch else None
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, windows, size = [], [], 0
-            for key, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True):
+            told = b.column("repeated").to_pylist() if shared is None else [None] * b.num_rows
+            for key, t, own in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), told, strict=True):
+                repeated = shared.value.repeated if shared else partial(np.isin, test_elements=np.array(own or [], np.int64).view(U))
                 found = words(t)
                 hashes = word_hashes(found)
                 keys = anchors(hashes, window, anchor) if key is not None else np.zeros(0, U)
-                copy = digest(hashes) if len(keys) and shared.value.repeated(whole_key(hashes)).all() else None
-                pos = np.flatnonzero(shared.value.repeated(keys)) if len(keys) and not copy else np.zeros(0, np.int64)
+                copy = digest(hashes) if len(keys) and repeated(whole_key(hashes)).all() else None
+                pos = np.flatnonzero(repeated(keys)) if len(keys) and not copy else np.zeros(0, np.int64)
                 rows.append((key, len(found), hashlib.sha256(b" ".join(found)).digest(), copy, t if copy or len(pos) else None))
                 if len(pos):
                     windows.append(_windows(key, hashes, pos, window))
@@ -226,8 +369,16 @@ def strip(found: list[bytes], starts: np.ndarray, window: int = WINDOW) -> list[
 def _found(docs: DataFrame, text: str, key: str, window: int, anchor: int, bits: int | None) -> DataFrame:
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     bits = bits or sketch_bits(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    sketch = build_sketch(own.filter("doc is not null and text is not null"), "text", bits, window, anchor)
-    return staged(second_pass(own, sketch, window, anchor), "second-pass")
+    some = own.filter("doc is not null and text is not null")
+    if bits <= BROADCAST_BITS:
+        return staged(second_pass(own, build_sketch(some, "text", bits, window, anchor), window, anchor), "second-pass")
+    # Rows without a key or text, which may be any share, aren't dealt out by it.
+    mark = staged_so_far()
+    told = some.join(repeated_keys(some, bits, window, anchor).hint("merge"), "doc", "left")
+    rest = own.filter("doc is null or text is null").withColumn("repeated", F.lit(None).cast("array<long>"))
+    found = staged(second_pass(told.unionAll(rest), None, window, anchor), "second-pass")
+    drop_staged(docs.sparkSession, mark, keep=(found,))
+    return found
 
 
 def drop_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None) -> DataFrame:

@@ -37,6 +37,43 @@ def test_brute_force(spark, window, anchor, bits):
     assert sum(x[2] for x in want) > 0
 
 
+@pytest.mark.parametrize("bits,units", [(17, 17), (20, 17), (20, 1), (16, 17)])
+def test_a_sketch_that_no_worker_holds(spark, monkeypatch, bits, units):
+    """Rows of the table's way are those of brute force, and its estimates those of the sketch that workers hold."""
+    monkeypatch.setattr(S, "BROADCAST_BITS", 15)
+    monkeypatch.setattr(S, "UNIT_BITS", units)
+    monkeypatch.setattr(S, "build_sketch", None)
+    rows = documents(n=150) + edge_rows()
+    out = S.dedup_substrings(frame(spark, rows, True), bits=bits)
+    assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in out.collect()) == sorted(str(x[:4]) for x in brute(rows, 50))
+    monkeypatch.undo()
+    keyed = [(k, t) for k, t, *_ in rows if k is not None and t is not None]
+    docs = spark.createDataFrame(keyed, "doc long, text string")
+    monkeypatch.setattr(S, "UNIT_BITS", units)
+    told = {r["doc"]: {x & (2**64 - 1) for x in r["repeated"]} for r in S.repeated_keys(docs, bits).collect()}
+    sketch = S.build_sketch(docs, "text", bits)
+    want: dict[int, set] = {}
+    for k, t in keyed:
+        hashes = word_hashes(words(t))
+        if len(keys := S.anchors(hashes, S.WINDOW, S.ANCHOR)):
+            keys = np.append(keys, S.whole_key(hashes))
+            want.setdefault(k, set()).update(keys[sketch.repeated(keys)].tolist())
+    assert told == {k: v for k, v in want.items() if v}
+
+
+def test_few_single_anchors_pass_at_any_size():
+    """The sketch grows with the data: sketches of 2**17 to 2**20 cells, at the load that sketch_bits() gives, let through about as many keys that stand once."""
+    rng = np.random.default_rng(5)
+    for bits in (17, 18, 20):
+        n = 1 << (bits - 2)
+        assert S.sketch_bits(n * 42) == bits
+        keys, others = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+        full = {b.column("block")[i].as_py(): b.column("full")[i].as_py() for b in S._merge(bits)(S._send(keys, bits)) for i in range(b.num_rows)}
+        sketch = S.Sketch(bits, full)
+        assert sketch.repeated(keys).mean() < 0.02 and sketch.repeated(others).mean() < 0.001
+    assert S.sketch_bits(100 * 10**12) == 44
+
+
 def test_texts(spark):
     rows = documents(n=60) + edge_rows()
     out = {r["doc_id"]: r["text"] for r in S.drop_substrings(frame(spark, rows)).collect() if r["doc_id"] is not None}
