@@ -7,16 +7,14 @@ the cells that they fill; ranges of cells are merged apart. A second pass groups
 is estimated to be repeated, and the windows whose anchor is; a later copy of a document goes whole, and only the
 first one's windows take part.
 
-The sketch grows with the data. Up to BROADCAST_BITS every worker holds it; a larger one stays a table, and the keys
-go to its cells: all cells of a key lie in blocks side by side, so that a key has one place to ask. Both ways
-give the same estimates.
+The sketch grows with the data, and no machine holds it as a whole: it is a table, and the keys go to its cells. All cells
+of a key lie in blocks side by side, so that a key has one place to ask.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +29,7 @@ WINDOW, ANCHOR, ROWS = 50, 38, 3
 _MULTIPLIERS = (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9FB21C651E98DF25))
 _SPREAD = U(0xD6E8FEB86659FD93)
 BLOCK_BITS, FLUSH = 16, 1 << 19
-#: A sketch of more cells in a row (of two bits while it is merged, then one) isn't sent to the workers: 3 rows of 2**28 bits are 101 MB.
-BROADCAST_BITS = 28
-#: Into so many units at most the cells of a larger sketch are dealt; a task holds one at a time.
+#: Into so many units at most the sketch is dealt; a task holds one at a time.
 UNIT_BITS = 17
 
 
@@ -69,21 +65,6 @@ def cells(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([((first + r) << BLOCK_BITS) + ((keys * m) >> U(64 - BLOCK_BITS)).astype(np.int64) for r, m in enumerate(_MULTIPLIERS)])
 
 
-class Sketch:
-    """Which cells of the merged count-min sketch count two or more."""
-
-    def __init__(self, bits: int, blocks: dict[int, bytes]):
-        self.bits = bits
-        self.full = np.zeros((ROWS << bits) // 8, np.uint8)
-        for i, b in blocks.items():
-            size = (1 << BLOCK_BITS) // 8
-            self.full[i * size : (i + 1) * size] = np.frombuffer(b, np.uint8)
-
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
-        at = cells(keys, self.bits).reshape(ROWS, -1)
-        return ((self.full[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
-
-
 def _stretches(sorted_ids: np.ndarray) -> Iterator[tuple[int, int]]:
     """The runs of equal ids, from and to."""
     edge = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
@@ -103,45 +84,22 @@ def _send(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"block": pa.array(ids, pa.int64()), "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
 
 
-def _fill(bits: int, window: int, anchor: int):
-    """A partition's sketch."""
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                hashes = word_hashes(words(t))
-                if len(keys := np.unique(anchors(hashes, window, anchor))):
-                    held += [keys, whole_key(hashes)]
-                    size += len(keys) + 1
-                if size >= FLUSH:
-                    yield from _send(np.concatenate(held), bits)
-                    held, size = [], 0
-        if held:
-            yield from _send(np.concatenate(held), bits)
-
-    return part
-
-
-def _merge(bits: int):
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the partitions' cells. A task holds two bits for each cell of its blocks, whatever the number of partitions."""
     size = 1 << BLOCK_BITS
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}  # by block: cells filled, and filled again
-        for b in batches:
-            for i, once, more in zip(*(b.column(c).to_pylist() for c in ("block", "once", "more")), strict=True):
-                bits = np.zeros((2, size), bool) if i not in seen else np.unpackbits(seen[i], axis=1, bitorder="little").view(bool)
-                once = np.frombuffer(once, "<u2")
-                bits[1, once[bits[0, once]]] = True
-                bits[0, once] = True
-                bits[:, np.frombuffer(more, "<u2")] = True
-                seen[i] = np.packbits(bits, axis=1, bitorder="little")
-        full = [(i, x[1].tobytes()) for i, x in seen.items() if x[1].any()]
-        if full:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i for i, _ in full], pa.int64()), "full": [f for _, f in full]})
-
-    return part
+    seen: dict[int, np.ndarray] = {}  # by block: cells filled, and filled again
+    for b in batches:
+        for i, once, more in zip(*(b.column(c).to_pylist() for c in ("block", "once", "more")), strict=True):
+            bits = np.zeros((2, size), bool) if i not in seen else np.unpackbits(seen[i], axis=1, bitorder="little").view(bool)
+            once = np.frombuffer(once, "<u2")
+            bits[1, once[bits[0, once]]] = True
+            bits[0, once] = True
+            bits[:, np.frombuffer(more, "<u2")] = True
+            seen[i] = np.packbits(bits, axis=1, bitorder="little")
+    full = [(i, x[1].tobytes()) for i, x in seen.items() if x[1].any()]
+    for at in range(0, len(full), 256):
+        ids, bitmaps = zip(*full[at : at + 256], strict=True)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(ids, pa.int64()), "full": pa.array(bitmaps, pa.binary())})
 
 
 def sketch_bits(n_bytes: int, least: int = 16) -> int:
@@ -152,19 +110,6 @@ def sketch_bits(n_bytes: int, least: int = 16) -> int:
     return int(max(least, np.ceil(np.log2(max(1, n_bytes / 42 * 4)))))
 
 
-_CELLS, _BLOCKS = "block long, once binary, more binary", "block long, full binary"
-
-
-def _merged(filled: DataFrame, bits: int) -> DataFrame:
-    return filled.repartition("block").transform(arrow, _merge(bits), _BLOCKS)
-
-
-def build_sketch(docs: DataFrame, text: str, bits: int, window: int = WINDOW, anchor: int = ANCHOR) -> Sketch:
-    """A sketch for every worker, of up to BROADCAST_BITS."""
-    merged = _merged(docs.select(F.col(text).alias("text")).transform(arrow, _fill(bits, window, anchor), _CELLS), bits)
-    return Sketch(bits, {r["block"]: bytes(r["full"]) for r in merged.collect()})
-
-
 def _keyed(bits: int, side: int, window: int, anchor: int):
     """The keys of documents (doc, text), with their documents, by unit of the sketch (2**side stretches): as many rows as a group of FLUSH keys fills units."""
 
@@ -198,8 +143,8 @@ def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield unit, np.frombuffer(keys, U), np.frombuffer(docs, np.int64)
 
 
-def _fill_keyed(bits: int):
-    """The sketch of rows of _keyed()."""
+def _fill(bits: int):
+    """The sketch of rows of _keyed(): a partition's cells."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,10 +209,11 @@ def _ask(bits: int):
 
 
 def repeated_keys(docs: DataFrame, bits: int, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc, repeated: which keys of each of docs (doc, text) the sketch estimates to be repeated, by a sketch that no machine holds as a whole."""
+    """doc, repeated: which keys of each of docs (doc, text) the sketch estimates to be repeated, by its merged cells."""
     side = max(0, bits - BLOCK_BITS - UNIT_BITS)
     keyed = staged(docs.transform(arrow, _keyed(bits, side, window, anchor), "unit long, keys binary, docs binary"), "keyed")
-    blocks = _merged(keyed.transform(arrow, _fill_keyed(bits), _CELLS), bits)
+    cells_of = keyed.transform(arrow, _fill(bits), "block long, once binary, more binary")
+    blocks = cells_of.repartition("block").transform(arrow, _merge, "block long, full binary")
     unit = F.shiftright((F.col("block") / ROWS).cast("long"), side)
     none = F.lit(None).cast("binary")
     blocks = blocks.select(unit.alias("unit"), "block", "full", none.alias("keys"), none.alias("docs"))
@@ -287,22 +233,19 @@ def _windows(key: int, hashes: np.ndarray, pos: np.ndarray, window: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(pos.astype(np.int32)), pa.array(np.full(len(pos), key, np.int64))], ["h", "g", "pos", "doc"])
 
 
-def second_pass(docs: DataFrame, sketch: Sketch | None, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """From doc, text and, without a sketch, repeated (repeated_keys()), rows of two kinds: for every document doc, n_words, sha (of all its words), copy (its digest, if it is estimated repeated) and
+def second_pass(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """From doc, text and repeated (repeated_keys()) rows of two kinds: for every document doc, n_words, sha (of all its words), copy (its digest, if it is estimated repeated) and
     text (only if it may lose words); and h, g, pos, doc of the windows estimated repeated in documents that aren't."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch) if sketch else None
-
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, windows, size = [], [], 0
-            told = b.column("repeated").to_pylist() if shared is None else [None] * b.num_rows
-            for key, t, own in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), told, strict=True):
-                repeated = shared.value.repeated if shared else partial(np.isin, test_elements=np.array(own or [], np.int64).view(U))
+            for key, t, own in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "repeated")), strict=True):
+                repeated = np.array(own or [], np.int64).view(U)
                 found = words(t)
                 hashes = word_hashes(found)
                 keys = anchors(hashes, window, anchor) if key is not None else np.zeros(0, U)
-                copy = digest(hashes) if len(keys) and repeated(whole_key(hashes)).all() else None
-                pos = np.flatnonzero(repeated(keys)) if len(keys) and not copy else np.zeros(0, np.int64)
+                copy = digest(hashes) if len(keys) and np.isin(whole_key(hashes), repeated).all() else None
+                pos = np.flatnonzero(np.isin(keys, repeated)) if len(keys) and not copy else np.zeros(0, np.int64)
                 rows.append((key, len(found), hashlib.sha256(b" ".join(found)).digest(), copy, t if copy or len(pos) else None))
                 if len(pos):
                     windows.append(_windows(key, hashes, pos, window))
@@ -370,13 +313,11 @@ def _found(docs: DataFrame, text: str, key: str, window: int, anchor: int, bits:
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     bits = bits or sketch_bits(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     some = own.filter("doc is not null and text is not null")
-    if bits <= BROADCAST_BITS:
-        return staged(second_pass(own, build_sketch(some, "text", bits, window, anchor), window, anchor), "second-pass")
     # Rows without a key or text, which may be any share, aren't dealt out by it.
     mark = staged_so_far()
     told = some.join(repeated_keys(some, bits, window, anchor).hint("merge"), "doc", "left")
     rest = own.filter("doc is null or text is null").withColumn("repeated", F.lit(None).cast("array<long>"))
-    found = staged(second_pass(told.unionAll(rest), None, window, anchor), "second-pass")
+    found = staged(second_pass(told.unionAll(rest), window, anchor), "second-pass")
     drop_staged(docs.sparkSession, mark, keep=(found,))
     return found
 

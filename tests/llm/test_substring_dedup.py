@@ -37,40 +37,39 @@ def test_brute_force(spark, window, anchor, bits):
     assert sum(x[2] for x in want) > 0
 
 
-@pytest.mark.parametrize("bits,units", [(17, 17), (20, 17), (20, 1), (16, 17)])
-def test_a_sketch_that_no_worker_holds(spark, monkeypatch, bits, units):
-    """Rows of the table's way are those of brute force, and its estimates those of the sketch that workers hold."""
-    monkeypatch.setattr(S, "BROADCAST_BITS", 15)
-    monkeypatch.setattr(S, "UNIT_BITS", units)
-    monkeypatch.setattr(S, "build_sketch", None)
-    rows = documents(n=150) + edge_rows()
-    out = S.dedup_substrings(frame(spark, rows, True), bits=bits)
-    assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in out.collect()) == sorted(str(x[:4]) for x in brute(rows, 50))
-    monkeypatch.undo()
-    keyed = [(k, t) for k, t, *_ in rows if k is not None and t is not None]
-    docs = spark.createDataFrame(keyed, "doc long, text string")
+def keys_of(text):
+    hashes = word_hashes(words(text))
+    keys = S.anchors(hashes, S.WINDOW, S.ANCHOR)
+    return np.append(np.unique(keys), S.whole_key(hashes)) if len(keys) else keys
+
+
+@pytest.mark.parametrize("bits,units,flush", [(16, 17, 1 << 19), (17, 17, 300), (20, 17, 300), (20, 1, 300)])
+def test_estimates_are_those_of_a_count_min_sketch(spark, monkeypatch, bits, units, flush):
+    """repeated_keys() against counts in one array of cells, for sketches of one stretch or many, in units of one stretch or several."""
     monkeypatch.setattr(S, "UNIT_BITS", units)
-    told = {r["doc"]: {x & (2**64 - 1) for x in r["repeated"]} for r in S.repeated_keys(docs, bits).collect()}
-    sketch = S.build_sketch(docs, "text", bits)
+    monkeypatch.setattr(S, "FLUSH", flush)
+    docs = [(k, t) for k, t, *_ in documents(n=150) + edge_rows() if k is not None and t is not None]
+    count = np.zeros(S.ROWS << bits, np.int64)
+    for _, t in docs:
+        np.add.at(count, S.cells(keys_of(t), bits), 1)
     want: dict[int, set] = {}
-    for k, t in keyed:
-        hashes = word_hashes(words(t))
-        if len(keys := S.anchors(hashes, S.WINDOW, S.ANCHOR)):
-            keys = np.append(keys, S.whole_key(hashes))
-            want.setdefault(k, set()).update(keys[sketch.repeated(keys)].tolist())
+    for k, t in docs:
+        if len(keys := keys_of(t)):
+            want.setdefault(k, set()).update(keys[(count[S.cells(keys, bits)] > 1).reshape(S.ROWS, -1).all(0)].tolist())
+    frame_of = spark.createDataFrame(docs, "doc long, text string").repartition(5)
+    told = {r["doc"]: {x & (2**64 - 1) for x in r["repeated"]} for r in S.repeated_keys(frame_of, bits).collect()}
     assert told == {k: v for k, v in want.items() if v}
 
 
 def test_few_single_anchors_pass_at_any_size():
-    """The sketch grows with the data: sketches of 2**17 to 2**20 cells, at the load that sketch_bits() gives, let through about as many keys that stand once."""
+    """At the load that sketch_bits() gives, sketches of any size let through about as many keys that stand once."""
     rng = np.random.default_rng(5)
     for bits in (17, 18, 20):
         n = 1 << (bits - 2)
         assert S.sketch_bits(n * 42) == bits
-        keys, others = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
-        full = {b.column("block")[i].as_py(): b.column("full")[i].as_py() for b in S._merge(bits)(S._send(keys, bits)) for i in range(b.num_rows)}
-        sketch = S.Sketch(bits, full)
-        assert sketch.repeated(keys).mean() < 0.02 and sketch.repeated(others).mean() < 0.001
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        at = S.cells(keys, bits)
+        assert (np.bincount(at)[at] > 1).reshape(S.ROWS, -1).all(0).mean() < 0.02
     assert S.sketch_bits(100 * 10**12) == 44
 
 
@@ -83,30 +82,18 @@ def test_texts(spark):
 
 
 def test_an_overfull_sketch_loses_nothing(spark, monkeypatch):
-    """With every cell counted twice all texts and windows pass, and the result is the same."""
+    """With every key estimated to be repeated all texts and windows pass, and the result is the same."""
 
-    def full(*_, **__):
-        sketch = S.Sketch(16, {})
-        sketch.full[:] = 255
-        return sketch
+    def every(docs, *_):
+        rows = [(r["doc"], keys_of(r["text"]).view(np.int64).tolist()) for r in docs.dropDuplicates(["doc"]).collect()]
+        return spark.createDataFrame(rows, "doc long, repeated array<long>")
 
-    monkeypatch.setattr(S, "build_sketch", full)
+    monkeypatch.setattr(S, "repeated_keys", every)
     rows = documents(n=60) + edge_rows()
     out = S.dedup_substrings(frame(spark, rows)).collect()
     assert sorted(str((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"])) for r in out) == sorted(str(x[:4]) for x in brute(rows, 50))
 
 
-def test_sketch_never_underestimates(spark):
-    rows = documents(n=80)
-    sketch = S.build_sketch(frame(spark, rows), "text", 16)
-    seen = {}
-    for k, t, *_ in rows:
-        for a in set(S.anchors(word_hashes(words(t)), S.WINDOW, S.ANCHOR).tolist()):
-            seen.setdefault(a, set()).add(k)
-    twice = np.array([a for a, ks in seen.items() if len(ks) > 1], np.uint64)
-    assert len(twice) and sketch.repeated(twice).all()
-
-
 def test_anchors_are_least_of_inner_runs():
     h = word_hashes([str(i * i % 17).encode() for i in range(90)])
     r = runs(h, 38)
