@@ -31,7 +31,7 @@ GAP = "▁"
 #: Stands for GAP where the text itself has one: no text can hold it, and it is spelt in bytes, so decoding tells the two apart.
 OWN_GAP = "\udfff"
 THETA, SEED = 2e-4, 6
-UNITS, LONG = 100_000, 1 << 20
+UNITS, LONG = 25_000, 1 << 20
 _STEP, _PLACE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
