@@ -115,7 +115,11 @@ def score(reads: DataFrame, db: DataFrame, groups: DataFrame, k: int, mc: float
     This lists pairs without a hit, too, a row for each read and group; assignment needs compare_hits() only.
     groups: one row per group; Spark broadcasts the list if it is small enough.
     """
-    scored = hit_scores(reads, db, k, mc, step, early_exit, key, group).drop("len")
+    return all_pairs(reads, hit_scores(reads, db, k, mc, step, early_exit, key, group).drop("len"), groups, k, mc, step, early_exit, key, group)
+
+
+def all_pairs(reads: DataFrame, scored: DataFrame, groups: DataFrame, k: int, mc: float, step: int, early_exit: bool, key: str, group: str) -> DataFrame:
+    """scored, and a row for each read strand and group that it has none for."""
     everything = both_strands(reads, [key]).drop("seq").crossJoin(groups.select(group).distinct())
     none = errors_without_hits(F.col("len"), k, mc, step, early_exit)
     out = everything.join(scored, [key, "strand", group], "left")
@@ -143,6 +147,14 @@ def compare(reads: DataFrame, db: DataFrame, groups: DataFrame, k: int, mc: floa
     return choose_strand(score(reads, db, groups, k, mc, step, True, key, group), mc, key, group)
 
 
+def compare_fresh(reads: DataFrame, seqs: DataFrame, groups: DataFrame, k: int, mc: float = 0.05, step: int = 0, key: str = "read_key", group: str = "group") -> DataFrame:
+    """compare() with fresh sequences instead of their database, for many reads: k-mers travel as packed sets, see packed."""
+    from . import packed  # needs numpy and pyarrow, which the rest does without
+
+    scored = packed.hit_scores(reads, seqs, k, mc, step, True, key, group)
+    return choose_strand(all_pairs(reads, scored, groups, k, mc, step, True, key, group), mc, key, group)
+
+
 def compare_hits(reads: DataFrame, db: DataFrame, k: int, mc: float = 0.05, step: int = 0, key: str = "read_key", group: str | list[str] = "group", on: list[str] | None = None) -> DataFrame:
     """The rows of compare() for reads and groups that share a k-mer: all others have match 0. No row stands for a pair without a hit."""
     scored = hit_scores(reads, db, k, mc, step, True, key, group, on)

@@ -294,7 +294,7 @@ _TURNS = f"reads AS (SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARC
 def strand_choice_turns(spark, d):
     seq = dna.text_to_dna(F.col("text"))
     own = t(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("read_key"), F.when(F.col("turn") % 2 == 0, seq).otherwise(dna.reverse_complement(seq)).alias("seq"))
-    return S.compare(own, database(spark, d, 16, own), groups(spark, d), 16, 0.2)
+    return S.compare_fresh(own, refs(spark, d), groups(spark, d), 16, 0.2)
 
 
 @query(f"WITH {rows_sql(K, MC, K)} SELECT read_key, grp AS \"group\", CASE WHEN label = 'MM' THEN 'MM' ELSE 'M' END AS side, match, min_err FROM rows")
